@@ -109,7 +109,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_6 = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, CASE (row_number() OVER (ORDER BY source COLLATE BINARY NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS cap FROM p),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS cap FROM p),
 r AS (SELECT *, cap / weight AS ratio FROM w),
 x AS (SELECT a.source, a.source_size, a.weight, a.cap, a.ratio,
         ((SELECT sum(source_size)::DOUBLE FROM p) - coalesce((SELECT sum(b.cap) FROM r b WHERE b.ratio < a.ratio), 0)) / (SELECT sum(b.weight) FROM r b WHERE b.ratio >= a.ratio) AS part FROM r a),
