@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .edit_embedding import op4_edit_embedding
+from .language_model import op1_language_model
 from .license_scan import op3_license_scan
 from .line_quality import op9_line_quality
 from .mixing import ORACLE_6, op6_mixing
@@ -13,6 +14,7 @@ from .simhash import op5_simhash
 from .substring_dedup import op8_substring_dedup
 
 QUERIES = {
+    "op1_language_model": op1_language_model,
     "op2_related_packing": op2_related_packing,
     "op3_license_scan": op3_license_scan,
     "op4_edit_embedding": op4_edit_embedding,

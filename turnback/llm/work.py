@@ -27,10 +27,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str, *by: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+    """Write ``df`` to the shared folder (in folders by the columns ``by``) and return the written table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnback-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(*by) if by else w).parquet(path)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
