@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,8 +86,8 @@ def _merge(doc: np.ndarray, a: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, n
     return doc[f], a[f], reach[last] - doc[f] * big
 
 
-def _settle(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per entry: is there one with the same keys and a smaller id; is it the first with its keys and id."""
+def _settle(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
+    """Per entry: is there one with the same keys and a smaller id."""
     o = np.lexsort([ids, *keys[::-1]])
     new = np.ones(len(o), bool)
     new[1:] = np.any([k[o][1:] != k[o][:-1] for k in keys], axis=0)
@@ -94,9 +95,7 @@ def _settle(keys: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.nda
     least = ids[o][new][group]
     later = np.empty(len(o), bool)
     later[o] = ids[o] > least
-    first = np.empty(len(o), bool)
-    first[o] = new
-    return later, first
+    return later
 
 
 _FACTORS = "doc_id long, tid long, start int, n int, anchor long, sig long, settled boolean"
@@ -132,14 +131,14 @@ def _factor_rows(length: int, most: int):
             anchor, sig, ids, tids, start, n = (np.concatenate([g[k] for g in got]) for k in range(6))
             if not len(ids):
                 continue
-            later, first = _settle([anchor, sig], ids)
+            later = _settle([anchor, sig], ids)
             row = np.flatnonzero(later)
             # stretches of one document in one row each
             u, inv = np.unique(np.stack([ids[row], tids[row]], axis=1), axis=0, return_inverse=True)
             d, a, z = _merge(inv.reshape(-1).astype(np.int64), start[row].astype(np.int64), start[row] + n[row] + length - 1)
             none = np.zeros(len(d), np.int64)
             yield _table(u[:, 0], u[:, 1], d, a, z - a, {"anchor": none, "sig": none}, np.ones(len(d), bool))
-            row = np.flatnonzero(first)
+            row = np.flatnonzero(~later)
             yield _table(ids, tids, row, start[row], n[row], {"anchor": anchor[row], "sig": sig[row]}, np.zeros(len(row), bool))
 
     return run
@@ -164,12 +163,12 @@ def _window_rows(length: int, most: int):
             whash, ids, tids, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
             if not len(ids):
                 continue
-            later, first = _settle([whash], ids)
+            later = _settle([whash], ids)
             row = np.flatnonzero(later)
             u, inv = np.unique(np.stack([ids[row], tids[row]], axis=1), axis=0, return_inverse=True)
             d, a, z = _merge(inv.reshape(-1).astype(np.int64), pos[row], pos[row] + length)
             yield _table(u[:, 0], u[:, 1], d, a, z - a, {"whash": np.zeros(len(d), np.int64)}, np.ones(len(d), bool))
-            row = np.flatnonzero(first)
+            row = np.flatnonzero(~later)
             yield _table(ids, tids, row, pos[row], np.full(len(row), length), {"whash": whash[row]}, np.zeros(len(row), bool))
 
     return run
@@ -260,5 +259,30 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     return x.mapInArrow(_cut(not digest), f"doc_id long, tid long, n_words long, n_removed long, {last}")
 
 
+def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with the duplicates cut from its texts; rows all stay, an n_chars
+    column follows the text."""
+    spans, _ = duplicate_spans(docs, length)
+    spans = spans.select(F.col("doc_id").alias("__d"), F.col("tid").alias("__t"), F.col("spans").alias("__spans"))
+    x = docs.withColumn("__h", F.xxhash64("text"))
+    x = x.join(spans, (x["doc_id"] == spans["__d"]) & (x["__h"] == spans["__t"]), "left")
+    x = x.select(*[docs[c] for c in docs.columns], "__spans")
+    change = _cut(True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in buf.pieces(batches):
+            part = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("doc_id"), b.column("text").fill_null(""), b.column("__spans")], names=["doc_id", "tid", "text", "spans"])
+            (got,) = change(iter([part]))
+            touched = pc.greater(got.column("n_removed"), 0)
+            text = pc.if_else(touched, got.column("kept"), b.column("text"))
+            cols = {n: b.column(n) for n in b.schema.names if n != "__spans"}
+            cols["text"] = text
+            if "n_chars" in cols:
+                cols["n_chars"] = pc.if_else(touched, pc.utf8_length(text).cast(cols["n_chars"].type), cols["n_chars"])
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+
+    return x.mapInArrow(run, docs.schema)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True).drop("tid")
