@@ -235,6 +235,15 @@ def score(docs: DataFrame, crf: Field | None, id_col: str = "doc_id", text_col:
     return slim.mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def keep(docs: DataFrame, crf: Field | None, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (a column text and any others) whose score reaches ``threshold``; all of them without a model."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in buf.pieces(batches):
+            yield b if crf is None else b.filter(pa.array(crf.quality(*line_features(b.column("text"))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def training_rows() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
 

@@ -52,15 +52,15 @@ def fingerprint(text: bytes | None) -> bytes:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+    """doc_id, tid (a hash of the text), fp (the fingerprint as a signed long)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = b"".join([fingerprint(t) for t in b.column(1).to_pylist()])
+            raw = b"".join([fingerprint(t) for t in b.column(2).to_pylist()])
             fp = np.frombuffer(raw, ">u8").astype(np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp)], names=["doc_id", "tid", "fp"])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(docs[text_col]).alias("tid"), docs[text_col].cast("binary").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, tid long, fp long")
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +149,7 @@ def links(nodes: DataFrame, bits: int = 6, parts: int | None = None) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, bits: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint, n_near, component_id of every row.
+    """doc_id, tid, fingerprint, n_near, component_id of every row.
 
     n_near counts the other rows whose fingerprint differs in at most ``bits`` bits (equal ones too); component_id is
     the least doc_id that links reach. Null and empty texts have fingerprint zero and link like any other; repeated
@@ -165,8 +165,23 @@ def near_duplicates(docs: DataFrame, bits: int = 6, id_col: str = "doc_id", text
     x = nodes.join(near, "fp", "left").join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = x.groupBy("root").agg(F.min("least").alias("component_id"))
     per = x.join(ids, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    return fps.join(per, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+    return fps.join(per, "fp").select("doc_id", "tid", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "n_near", "component_id")
+
+
+def survivors(docs: DataFrame, bits: int = 6) -> DataFrame:
+    """``docs`` (doc_id, text and any other columns) with one row of each component: that of the least id and, among
+    rows of one id, the least text hash; rows that repeat both are one."""
+    near = near_duplicates(docs, bits)
+    known = near.groupBy("component_id", F.when(near["component_id"].isNull(), near["fingerprint"]).alias("alone"), "doc_id", "tid").agg(F.count("*").alias("n"))
+    best = known.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "n")).alias("m"))
+    best = work.table(best.select(F.col("m.doc_id").alias("__d"), F.col("m.tid").alias("__t"), F.col("m.n").alias("__n")), "survivors")
+    x = docs.withColumn("__h", F.xxhash64("text"))
+    x = x.join(best, x["doc_id"].eqNullSafe(best["__d"]) & (x["__h"] == best["__t"]))
+    if best.filter("__n > 1").isEmpty():
+        return x.select(*docs.columns)
+    again = x.filter("__n > 1").dropDuplicates(["doc_id", "__h"])
+    return x.filter("__n = 1").unionByName(again).select(*docs.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tid")
