@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -31,7 +32,12 @@ def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/turnback-{name}-{uuid.uuid4().hex[:12]}"
     w = df.write.option("compression", "zstd")
-    (w.partitionBy(*by) if by else w).parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")  # this plan runs once: its shuffle files can go when the table stands
+    try:
+        (w.partitionBy(*by) if by else w).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -45,14 +51,6 @@ def drop(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished jobs (it acts on collected references)."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
