@@ -66,7 +66,7 @@ def flat(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = (2 << 20) - 64) -> Iterator[pa.RecordBatch]:
     """The rows in batches of about ``most`` bytes of text (a longer text stands alone)."""
     for b in batches:
         if not b.num_rows:
