@@ -1,8 +1,8 @@
 """Edit scripts between strings: JSON lists of [tag, from, to, text], tag d (delete) or i (insert or replace).
 
-The difference is taken with difflib. Two texts that agree in a long head and tail are compared in between only, and
-a middle beyond ``LIMIT`` characters is replaced as a whole, as difflib's time grows with the square of the length; the
-script stays exact either way.
+The difference is taken with difflib; longer texts of equal length that agree in most places list those that differ. Two
+texts beyond ``LIMIT`` characters have what lies between their common head and tail replaced as a whole, as difflib's
+time grows with the square of the length. The script is exact either way.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LIMIT = 20_000
+LIMIT = 4_000
+SHORT = 256
 
 
 def script(source: str | None, target: str | None) -> str | None:
@@ -26,6 +27,20 @@ def script(source: str | None, target: str | None) -> str | None:
     if source == target:
         return "[]"
     ops = []
+    if len(source) == len(target) > SHORT:
+        i = 0
+        while i < len(source):  # the places that differ
+            if source[i] == target[i]:
+                i += 1
+                continue
+            j = i
+            while j < len(source) and source[j] != target[j]:
+                j += 1
+            ops.append(["i", i, j, target[i:j]])
+            i = j
+        if sum(len(o[3]) for o in ops) <= len(source) // 2:
+            return json.dumps(ops)
+        ops = []
     if max(len(source), len(target)) > LIMIT:
         head = len(os.path.commonprefix([source, target]))
         tail = len(os.path.commonprefix([source[head:][::-1], target[head:][::-1]]))
@@ -65,5 +80,6 @@ def script_col(source: Column, target: Column) -> Column:
 
 
 def patch_col(source: Column, edits: Column) -> Column:
+    """A null script stands for a null."""
     changed = edits != "[]"
-    return F.when(changed, _patch(F.when(changed, source), F.when(changed, edits))).otherwise(source)
+    return F.when(changed, _patch(F.when(changed, source), F.when(changed, edits))).when(edits == "[]", source)

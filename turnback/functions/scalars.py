@@ -45,6 +45,11 @@ def micros_since(ts: Column, zero: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", zero, ts)
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, for use inside the lambdas of array functions."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def nested(fn: Callable[..., Column], depth: int, cols: Sequence[Column], flat: frozenset[int] = frozenset()) -> Column:
     """``fn`` on every element of arrays nested ``depth`` deep; positions in ``flat`` are scalars for all elements."""
     if not depth:

@@ -10,8 +10,15 @@ from turnback.functions.scalars import floor_div, true_div
 from .base import Elementwise, Op
 
 
+def unusable(t: Column) -> Column:
+    """Nothing can be derived from this: null, NaN or infinite."""
+    d = t.cast("double")
+    return t.isNull() | F.isnan(d) | d.isin(float("inf"), float("-inf"))
+
+
 class _Binary(Elementwise):
-    """Keeps the operand ``keep`` (b unless told otherwise), or nothing if that one is a constant."""
+    """Keeps the operand ``keep`` (b unless told otherwise), or nothing if that one is a constant; and the other operand
+    as ``missing`` where it can't be derived."""
 
     ins = ("a", "b")
 
@@ -19,62 +26,71 @@ class _Binary(Elementwise):
     def kept(self) -> str:
         return next(iter(self.bound), self.params.get("keep", "b"))
 
+    @property
+    def other(self) -> str:
+        return "a" if self.kept == "b" else "b"
+
     @property
     def outs(self) -> tuple[str, ...]:
-        return ("target",) if self.bound else ("target", "kept")
+        return ("target", "missing") if self.bound else ("target", "kept", "missing")
 
     def saved(self, x: dict[str, Column]) -> Column:
         return x[self.kept] if self.kept in x else x["kept"]
 
     def _pair(self, got: Column, x: dict[str, Column]) -> dict[str, Column]:
-        return {self.kept: self.saved(x), ("a" if self.kept == "b" else "b"): got}
+        return {self.kept: self.saved(x), self.other: got}
+
+    def lost(self, t: Column) -> Column:
+        return unusable(t)
+
+    def _out(self, t: Column, a: Column, b: Column) -> dict[str, Column]:
+        kept, other = (a, b) if self.kept == "a" else (b, a)
+        return {"target": t, "kept": kept, "missing": F.when(self.lost(t) | unusable(kept), other)}
 
 
 class Add(_Binary):
     name = "add"
 
     def fwd(self, a, b):
-        return {"target": a + b, "kept": a if self.kept == "a" else b}
+        return self._out(a + b, a, b)
 
     def inv(self, **x):
-        return self._pair(x["target"] - self.saved(x), x)
+        s, t = self.saved(x), x["target"]
+        return self._pair(F.when(self.lost(t) | unusable(s), x["missing"]).otherwise(t - s), x)
 
 
 class Sub(_Binary):
     name = "sub"
 
     def fwd(self, a, b):
-        return {"target": a - b, "kept": a if self.kept == "a" else b}
+        return self._out(a - b, a, b)
 
     def inv(self, **x):
-        s = self.saved(x)
-        return self._pair(s - x["target"] if self.kept == "a" else x["target"] + s, x)
+        s, t = self.saved(x), x["target"]
+        return self._pair(F.when(self.lost(t) | unusable(s), x["missing"]).otherwise(s - t if self.kept == "a" else t + s), x)
 
 
 class Mul(_Binary):
-    """``missing`` holds the lost factor where the product is zero (or the kept factor makes division impossible)."""
+    """``missing`` also holds the factor lost where the product is zero."""
 
     name = "mul"
 
-    @property
-    def outs(self):
-        return (*super().outs, "missing")
+    def lost(self, t):
+        return unusable(t) | (t == 0)
 
     def fwd(self, a, b):
-        lost, kept = (b, a) if self.kept == "a" else (a, b)
-        t = a * b
-        return {"target": t, "kept": kept, "missing": F.when(t == 0, lost)}
+        return self._out(a * b, a, b)
 
     def inv(self, **x):
         s, t = self.saved(x), x["target"]
-        got = F.when(t == 0, x["missing"]).otherwise(t / F.when(s == 0, None).otherwise(s))
-        return self._pair(got, x)
+        return self._pair(F.when(self.lost(t) | unusable(s), x["missing"]).otherwise(t / F.when(s == 0, None).otherwise(s)), x)
 
 
 class Div(_Binary):
     """Whole numbers (``whole=True``): quotient rounded down, ``remainder`` with the divisor's sign, zero divisors raise.
     Otherwise x/0 is a signed infinity or NaN, and ``missing`` holds the dividend where the quotient isn't finite. With
-    the dividend kept, ``missing`` holds the divisor where the quotient is zero or (whole) rounding lost it."""
+    the dividend kept, ``missing`` holds the divisor where the quotient is zero too, or (whole) always, as rounding
+    loses it."""
 
     name = "div"
 
@@ -84,26 +100,26 @@ class Div(_Binary):
 
     @property
     def outs(self):
-        return (*super().outs, "remainder", "missing") if self.whole else (*super().outs, "missing")
+        return (*super().outs, "remainder") if self.whole else super().outs
+
+    def lost(self, t):
+        if self.kept == "a":
+            return F.lit(True) if self.whole else unusable(t) | (t == 0)
+        return unusable(t)
 
     def fwd(self, a, b):
-        kept = a if self.kept == "a" else b
         if self.whole:
             q, r = floor_div(a, b)
-            lost = b if self.kept == "a" else F.lit(None).cast("long")
-            return {"target": q, "kept": kept, "remainder": r, "missing": lost}
-        q = true_div(a, b)
-        bad = F.isnan(q) | q.isin(float("inf"), float("-inf"))
-        return {"target": q, "kept": kept, "missing": F.when((q == 0) | bad, b) if self.kept == "a" else F.when(bad, a)}
+            return self._out(q, a, b) | {"remainder": r}
+        return self._out(true_div(a, b), a, b)
 
     def inv(self, **x):
         s, t = self.saved(x), x["target"]
-        if self.whole:
-            return self._pair(x["missing"] if self.kept == "a" else t * s + x["remainder"], x)
-        bad = F.isnan(t) | t.isin(float("inf"), float("-inf"))
         if self.kept == "a":
-            return self._pair(F.when((t == 0) | bad, x["missing"]).otherwise(s / F.when(t == 0, None).otherwise(t)), x)
-        return self._pair(F.when(bad, x["missing"]).otherwise(t * s), x)
+            got = x["missing"] if self.whole else s / F.when(t == 0, None).otherwise(t)
+        else:
+            got = t * s + x["remainder"] if self.whole else t * s
+        return self._pair(F.when(self.lost(t) | unusable(s), x["missing"]).otherwise(got), x)
 
 
 class PhaseDecomp(Op):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnback.functions.scalars import let
 from turnback.functions.tokens import lookup
 
 from .base import Elementwise, Op
@@ -82,4 +83,4 @@ class OneHot(Op):
 
 
 def hot(i: Column, length: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.when(k == i, F.lit(1.0)).otherwise(F.lit(0.0)))
+    return let(i, lambda v: F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda k: F.when(k == v, F.lit(1.0)).otherwise(F.lit(0.0))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnback.functions.scalars import hashed_uniform
+from turnback.functions.scalars import hashed_uniform, let
 
 from .base import Elementwise, Op
 
@@ -68,10 +68,8 @@ class RandomReplace(Op):
             lambda i: i.isNotNull(),
         )
         positions = F.slice(F.reverse(drawn), 1, p["max_replace"])
-        return {
-            "target": F.transform(a, lambda v, i: F.when(F.array_contains(positions, i), F.lit(p["with_"])).otherwise(v)),
-            "positions": positions, "replaced": F.transform(positions, lambda i: F.get(a, i)), "key": x["key"],
-        }
+        target = let(positions, lambda at: F.transform(a, lambda v, i: F.when(F.array_contains(at, i), F.lit(p["with_"])).otherwise(v)))
+        return {"target": target, "positions": positions, "replaced": F.transform(positions, lambda i: F.get(a, i)), "key": x["key"]}
 
     def inverse(self, cols):
         at, was = cols["positions"], cols["replaced"]

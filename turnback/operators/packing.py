@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnback.functions.scalars import let
+
 from .arrays import effective_length
 
 ROW_MAP = "pack int, slot int, row bigint, start int, end int"
@@ -64,7 +66,7 @@ def pack(df: DataFrame, slice_col: str, row: str, values: str, width: int, max_g
     flat = F.flatten(F.transform("rs", lambda r: r["v"]))
     target = F.slice(F.concat(flat, F.array_repeat(F.lit(default), width)), 1, width)
     last = F.transform(F.filter("rs", lambda r: r["end"] > r["start"]), lambda r: r["end"])
-    ends = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.array_contains(last, i))
+    ends = let(last, lambda e: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.array_contains(e, i)))
     return g.select(slice_col, "pack", target.alias("target"), ends.alias("ends")), where
 
 

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnback.functions.scalars import let
+
 from .base import Op
 
 
@@ -41,7 +43,7 @@ def _array(kind: str, a: Column) -> Column:
     if kind == "mean":
         return total / n
     if kind == "std":
-        return F.sqrt(F.aggregate(a, zero, lambda s, x: s + (x - total / n) * (x - total / n)) / n)
+        return F.sqrt(let(total / n, lambda m: F.aggregate(a, zero, lambda s, x: s + (x - m) * (x - m))) / n)
     if kind in ("all", "any"):
         return (F.forall if kind == "all" else F.exists)(a, lambda x: x.cast("boolean"))
     raise ValueError(f"no reduction {kind!r}")
