@@ -83,7 +83,7 @@ def test_datetime(spark):
     assert close(got[0]["t/nums/x"], 1278.357142857143) and got[0]["t/diff/x"] == 5 * 86400 * 10**6
 
 
-SENTENCES = ["It is what it is.", "I've seen summer and I've seen rain", "The sun is not yellow, it's chicken. OK.", "Hey, you!", "Ended up sleeping in a doorway.", "", "   ", None, "tab\tand  two  spaces ", "１００ Ｙｅｎ 𝔘"]
+SENTENCES = ["So be it, so be it.", "we've been there and we've gone", "Tea isn't green; it's Black. Yes.", "Stop!", "Nobody was waiting at the old gates.", "", "   ", None, "tab\tand  two  spaces ", "１００ Ｙｅｎ 𝔘"]
 
 
 @pytest.mark.parametrize("how", [{}, {"lower": True}, {"half": True, "lower": True}, {"lemmatizer": "plural", "lower": True, "half": True}, {"max_vocab": 500}])
@@ -119,13 +119,16 @@ def test_fourier(spark):
     m = Fourier("f", ["t", "amp"], end="2019-03-01 00:00:00", frequencies=3).fit(df)
     got = both_ways(df, m)
     k = m.state["order"]
-    assert close([[r["f/nums/t"][k.index(i)] for i in range(3)] for r in got], [[0.0, 0.9967141902428158, 0.9934283804856316], [0.0] * 3, [0.0, 0.9984406326576075, 0.996881265315215], [0.0] * 3])
-    assert [[r["f/div/t"][k.index(i)] for i in range(3)] for r in got] == [[0, 0, 1], [0, 0, 0], [0, 0, 1], [0, 1, 2]]
+    start, end = t(1970, 1, 1), t(2019, 3, 1)
+    for r, (at, _) in zip(got, [(t(2019, 1, 1), 0), (start, 0), (t(2019, 2, 1), 0), (end, 0)]):
+        x = (at - start) / (end - start)
+        assert close([r["f/nums/t"][k.index(i)] for i in range(3)], [i * x % 1 for i in range(3)])
+        assert [r["f/div/t"][k.index(i)] for i in range(3)] == [i * x // 1 for i in range(3)]
     both_ways(df, Fourier("f", ["t", "amp"], end="2019-03-01", frequencies=3, top=1).fit(df))
 
 
 def test_dataset(spark, num, tmp_path):
-    df = num.withColumn("k", F.when(F.col("id") == 1, "b").when(F.col("id") == 2, "c").otherwise("a")).withColumn("s", F.lit("Hey, you!"))
+    df = num.withColumn("k", F.when(F.col("id") == 1, "b").when(F.col("id") == 2, "c").otherwise("a")).withColumn("s", F.lit("Who, me?"))
     ds = Dataset("DT", ["a", "b", "k", "s"]).add(Numeric("NUM", ["a", "b"], "min_max")).add(Categorical("CAT", ["k"], ["a", "b", "c"], "mean_std")).add(Numeric("TOO", ["a"], "mean_std")).add(Text("S", ["s"], 4, max_vocab=9))
     with pytest.raises(ValueError):
         ds.add(Numeric("NUM", ["a"]))
