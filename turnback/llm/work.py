@@ -29,26 +29,45 @@ def shared_dir(spark: SparkSession) -> str:
 
 def table(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` to the shared folder (in folders by the columns ``by``) and return the written table."""
-    spark = df.sparkSession
+    return waves([df], name, *by)
+
+
+def waves(dfs: list[DataFrame], name: str, *by: str) -> DataFrame:
+    """One table of several DataFrames, written one after another: each one's shuffle files go before the next begins."""
+    spark = dfs[0].sparkSession
     path = f"{shared_dir(spark)}/turnback-{name}-{uuid.uuid4().hex[:12]}"
-    w = df.write.option("compression", "zstd")
+    _made.append((spark, path))
     before = spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")  # this plan runs once: its shuffle files can go when the table stands
+    spark.conf.set(_CLEAN, "true")  # these plans run once: their shuffle files can go when the table stands
     try:
-        (w.partitionBy(*by) if by else w).parquet(path)
+        for df in dfs:
+            w = df.write.mode("append").option("compression", "zstd")
+            (w.partitionBy(*by) if by else w).parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
-    _made.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(dfs[0].schema).parquet(path)
     out._scratch_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`table` that no later plan reads."""
+def tidy() -> None:
+    """In a Python worker: give memory that the last piece of work freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU library
+        pass
+
+
+def drop(df: DataFrame, part: str = "") -> None:
+    """Delete a table made by :func:`table`, or one folder of it, that no later plan reads."""
     path = getattr(df, "_scratch_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        _delete(df.sparkSession, f"{path}/{part}" if part else path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
