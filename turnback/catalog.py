@@ -6,6 +6,7 @@ places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,10 @@ from turnback.operators import arrays, encode, make, masking, packing, text
 from turnback.operators.reduce import reduce
 from turnback.plans import Categorical, Dataset, Datetime, Flow, Fourier, Multilingual, Numeric, Text
 from turnback.plans.encoders import ddl_frame, top_words
+from turnback.session import shared_dir
+from turnback.sources.records import RecordSource
 from turnback.sources.training import train_input
+from turnback.streaming.apply import OnlineFit, encode_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -627,3 +631,37 @@ def train_take(spark, d):
 @query("SELECT * FROM (VALUES ('o_orderpriority', 'VARCHAR(15)'), ('o_orderdate', 'TIMESTAMP'), ('o_totalprice', 'FLOAT')) v(\"column\", type)")
 def schema_ddl(spark, d):
     return ddl_frame(spark, orders_model(read(spark, d, "orders")))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/turnback-{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_totalprice::FLOAT::DOUBLE AS price, [o_orderkey % 7, o_orderkey % 5] = [o_orderkey % 7, o_orderkey % 5] AS list FROM orders")
+def records_roundtrip(spark, d):
+    """Orders written as record files and read again (floats are all the format has)."""
+    spark.dataSource.register(RecordSource)
+    path = scratch(spark, "records").removeprefix("file://")
+    x = read(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").withColumn("l", F.array(F.col("o_orderkey") % 7, F.col("o_orderkey") % 5))
+    x.write.format("examples").mode("append").save(path)
+    y = spark.read.format("examples").schema("o_orderkey bigint, o_orderpriority string, o_totalprice float, l array<bigint>").load(path)
+    same = (F.get("l", 0) == F.col("o_orderkey") % 7) & (F.get("l", 1) == F.col("o_orderkey") % 5)
+    return y.select("o_orderkey", "o_orderpriority", F.col("o_totalprice").cast("double").alias("price"), same.alias("list"))
+
+
+def _stream(spark: SparkSession, d: str, table: str) -> DataFrame:
+    return spark.readStream.schema(read(spark, d, table).schema).parquet(f"{d}/{table}.parquet*")
+
+
+@query("WITH s AS (SELECT avg(value) a, stddev_pop(value) b FROM events) SELECT event_id, round((value - a) / b, 6) AS num FROM events, s")
+def stream_encode(spark, d):
+    """A model fitted on a stream, then applied to it: the file source, and Parquet as the sink."""
+    fit = OnlineFit(Numeric("n", ["value"], norm="mean_std"))
+    out = scratch(spark, "stream")
+    q = fit.attach(_stream(spark, d, "events").select("event_id", "value")).option("checkpointLocation", f"{out}/c1").trigger(availableNow=True).start()
+    q.awaitTermination()
+    y = encode_stream(_stream(spark, d, "events").select("event_id", "value"), fit.model)
+    y = y.select("event_id", r6("`n/nums/value`").alias("num"))
+    q = y.writeStream.format("parquet").option("checkpointLocation", f"{out}/c2").trigger(availableNow=True).start(f"{out}/rows")
+    q.awaitTermination()
+    return spark.read.schema("event_id bigint, num double").parquet(f"{out}/rows")

@@ -1,4 +1,4 @@
-"""Make the package importable in Spark's Python workers."""
+"""What a session needs: the package in its Python workers, and a folder that all executors share."""
 
 from __future__ import annotations
 
@@ -10,6 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; a local temporary folder only where that is unset (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="turnback-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package's sources to the executors, once for a Spark application."""
     sc = spark.sparkContext
