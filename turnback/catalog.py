@@ -45,6 +45,11 @@ def read(spark: SparkSession, d: str, t: str, *cols: str) -> DataFrame:
     return x.select(*cols) if cols else x
 
 
+def longest(df: DataFrame, col: str) -> int:
+    """The length of the longest array, 1 at least."""
+    return max(1, df.agg(F.max(F.size(col))).first()[0] or 1)
+
+
 def r6(c) -> F.Column:
     return F.round(c, 6)
 
@@ -434,10 +439,11 @@ def random_choice(spark, d):
 @query()
 def nsp_pairs(spark, d):
     x = read(spark, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), tokens(F.col("text"), "whitespace").alias("w")).filter(F.size("w") > 0)
-    x = x.select("key", F.slice(F.concat("w", F.array_repeat(F.lit(""), 64)), 1, 64).alias("tokens"), F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: (i <= F.least(F.size("w"), F.lit(64))) & (((i % 8) == 0) | (i == F.least(F.size("w"), F.lit(64))))).alias("ends"))
+    width = longest(x, "w")
+    x = x.select("key", "w", F.slice(F.concat("w", F.array_repeat(F.lit(""), width)), 1, width).alias("tokens"), F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (i <= F.size("w")) & (((i % 8) == 0) | (i == F.size("w")))).alias("ends"))
     y = masking.segment_pairs(x, "key", "tokens", "ends")
     back = masking.unsegment_pairs(y, "key").withColumnRenamed("tokens", "back")
-    return y.join(x, "key").join(back, "key").select("key", "is_random_next", F.array_join("target", " ").alias("target"), (F.col("back") == F.col("tokens")).alias("same"))
+    return y.join(x, "key").join(back, "key").select("key", "is_random_next", F.array_join("target", " ").alias("target"), (F.slice("back", F.lit(1), F.size("w")) == F.col("w")).alias("same"))
 
 
 # rows, arrays, packs
@@ -505,9 +511,11 @@ p AS (SELECT conv_id, turn, k, n, 0 AS pack, 0 AS slot, 0 AS start FROM t WHERE
  FROM p JOIN t ON t.conv_id = p.conv_id AND t.k = p.k + 1)"""
 
 
-def _turns(spark: SparkSession, d: str) -> DataFrame:
+def _turns(spark: SparkSession, d: str, width: int = WIDTH) -> DataFrame:
+    """The first ``width`` words of each turn, padded, beside all its words."""
     w = tokens(F.col("text"), "whitespace")
-    return read(spark, d, "conversations").select("conv_id", "turn", "role", F.slice(F.concat(w, F.array_repeat(F.lit(""), WIDTH)), 1, WIDTH).alias("values"))
+    x = read(spark, d, "conversations").select("conv_id", "turn", "role", w.alias("words"))
+    return x.withColumn("values", F.slice(F.concat("words", F.array_repeat(F.lit(""), width)), 1, width))
 
 
 @query(PACK_SQL + ' SELECT conv_id, pack::INTEGER AS pack, slot::INTEGER AS slot, turn AS row, start::INTEGER AS start, (start + n)::INTEGER AS "end" FROM p')
@@ -517,10 +525,11 @@ def pack_sequences(spark, d):
 
 @query("SELECT conv_id, turn, true AS same FROM conversations")
 def pack_roundtrip(spark, d):
-    x = _turns(spark, d)
-    packs, where = packing.pack(x, "conv_id", "turn", "values", WIDTH, GROUP, "")
-    back = packing.unpack(packs, where, "conv_id", WIDTH, "", "turn", "back")
-    return x.join(back, ["conv_id", "turn"]).select("conv_id", "turn", (F.col("values") == F.col("back")).alias("same"))
+    width = longest(_turns(spark, d), "words")
+    x = _turns(spark, d, width)
+    packs, where = packing.pack(x, "conv_id", "turn", "values", width, GROUP, "")
+    back = packing.unpack(packs, where, "conv_id", width, "", "turn", "back")
+    return x.join(back, ["conv_id", "turn"]).select("conv_id", "turn", (F.slice("back", F.lit(1), F.size("words")) == F.col("words")).alias("same"))
 
 
 @query(PACK_SQL + f" SELECT p.conv_id, p.pack::INTEGER AS pack, rtrim(string_agg(c.role, ',' ORDER BY p.slot)) AS roles FROM p JOIN conversations c ON c.conv_id = p.conv_id AND c.turn = p.turn GROUP BY ALL -- up to {GROUP}")
