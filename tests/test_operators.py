@@ -267,3 +267,36 @@ def test_segment_pairs(spark):
     assert 5 < sum(r.is_random_next for r in got.values()) < 35
     back = {r.key: r.tokens for r in masking.unsegment_pairs(y, "key").collect()}
     assert back == {r[0]: r[1] for r in rows}
+
+
+@pytest.mark.parametrize("aqe", ["true", "false"])
+@pytest.mark.parametrize("parts", ["2", "16", "200"])
+def test_numbers_are_dense_and_in_order(spark, aqe, parts):
+    x = spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet").repartition(8)
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        y = arrays.numbered(x, ["l_orderkey", "l_linenumber"])
+        n, most, rows, keys, every = y.selectExpr("count(distinct idx)", "max(idx)", "count(*)", "count(distinct idx, l_orderkey)", "sum(l_quantity)").first()
+        assert (n, most, rows, keys) == (600_000, 599_999, 600_000, 600_000)
+        assert every == x.selectExpr("sum(l_quantity)").first()[0]
+        steps = y.filter("idx % 1000 = 0").orderBy("idx").toPandas()
+        assert steps.l_orderkey.is_monotonic_increasing
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_numbers_of_odd_frames(spark):
+    x = spark.createDataFrame([(None, 1), (3, 2), (3, 2), (None, 5)], "k int, __pid int")
+    got = arrays.numbered(x, ["k"]).orderBy("idx").collect()
+    assert [r.idx for r in got] == [0, 1, 2, 3] and [r.k for r in got] == [None, None, 3, 3] and got[0].asDict().keys() == {"k", "__pid", "idx"}
+    assert arrays.numbered(x.limit(0), ["k"]).count() == 0
+
+
+def test_replace_listed_beyond_one_partition(spark):
+    x = spark.range(40).selectExpr("id", "id * 2 as a").repartition(5)
+    values = spark.createDataFrame([(i, -i) for i in range(15)], "pos long, value long")
+    got = {r.id: (r.target, r.replaced) for r in masking.replace_listed(x, "a", F.col("id") % 2 == 0, values, ["id"]).collect()}
+    assert got == {i: ((-(i // 2) if i // 2 < 15 else 2 * i, 2 * i) if i % 2 == 0 else (2 * i, None)) for i in range(40)}

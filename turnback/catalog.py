@@ -456,6 +456,12 @@ def partition_ranges(spark, d):
     return parts.select("o_orderkey", "part").unionByName(rest.select("o_orderkey", F.lit(-1).alias("part")))
 
 
+@query(f"SELECT {L}, l_quantity, l_shipdate, (row_number() OVER (ORDER BY {L}, l_extendedprice, l_shipdate) - 1)::INTEGER AS idx FROM lineitem")
+def row_numbers(spark, d):
+    x = read(spark, d, "lineitem", *LINE, "l_extendedprice", "l_quantity", "l_shipdate")
+    return arrays.numbered(x, [*LINE, "l_extendedprice", "l_shipdate"]).drop("l_extendedprice")
+
+
 @query("SELECT vec_id, embedding[3] AS a, embedding[1] AS b, embedding[64] AS c, len(embedding) - 3 AS rest, true AS same FROM embeddings")
 def partition_by_index(spark, d):
     op = make("partition_by_index", indices=[[2, 0], [63, 2]], size=64)

@@ -7,6 +7,8 @@ from functools import reduce as fold
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from turnback import scratch
+
 from .base import Op
 
 
@@ -231,14 +233,29 @@ def frame_shape(df: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
-    """Row numbers from 0 in a declared order, without one task for all rows: counts of range partitions are summed up."""
-    x = df.repartitionByRange(*order).withColumn("__pid", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("__pid").orderBy(*order)) - 1
-    x = x.withColumn("__in", inside)
-    sizes = x.groupBy("__pid").agg(F.max("__in").alias("__m"))
-    start = F.coalesce(F.sum(F.col("__m") + 1).over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("__pid", start.alias("__start"))  # a row for each partition
-    return x.join(F.broadcast(starts), "__pid").withColumn(name, F.col("__start") + F.col("__in")).drop("__pid", "__in", "__start", "__m")
+    """Row numbers from 0 in a declared order, without one task for all rows: counts of range partitions are summed up.
+
+    The range partitions are written once and read twice (for their counts and for the rows): a range partitioning that a
+    plan runs twice may sample other bounds the second time. Rows that agree in ``order`` are numbered in any order. An
+    empty frame gives an empty one; columns of any other name than ``name`` are kept.
+    """
+    had = df.columns
+    pid, inside, start = (_free(k, had) for k in ("__pid", "__in", "__start"))
+    x = scratch.table(df.repartitionByRange(*order).withColumn(pid, F.spark_partition_id()), "numbered")
+    sizes = x.groupBy(pid).agg(F.count("*").alias(inside))
+    before = F.coalesce(F.sum(inside).over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select(pid, before.alias(start))  # a row for each partition
+    x = x.withColumn(inside, F.row_number().over(Window.partitionBy(pid).orderBy(*order)) - 1)
+    keep = [c for c in had if c != name]
+    return x.join(F.broadcast(starts), pid).select(*(f"`{c}`" for c in keep), (F.col(start) + F.col(inside)).alias(name))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that isn't taken."""
+    low = {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
 
 
 def partition_ranges(df: DataFrame, ranges: list[tuple[int, int]], idx: str = "idx") -> tuple[DataFrame, DataFrame]:

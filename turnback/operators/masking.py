@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnback.functions.scalars import hashed_uniform, let
 
+from .arrays import numbered
 from .base import Elementwise, Op
 
 
@@ -30,7 +31,7 @@ class Replace(Elementwise):
 def replace_listed(df: DataFrame, column: str, mask: Column, values: DataFrame, order: list[str], target: str = "target") -> DataFrame:
     """One listed value for each masked row in order: ``values`` has (pos from 0, value). Masked rows beyond the list keep
     their value. Only masked rows are numbered."""
-    hit = df.filter(mask).withColumn("__pos", F.row_number().over(Window.orderBy(*order)) - 1)
+    hit = numbered(df.filter(mask), order, "__pos")
     v = values.select(F.col("pos").alias("__pos"), F.col("value").alias("__value"))
     done = hit.join(v, "__pos", "left").withColumn(target, F.coalesce("__value", column)).withColumn("replaced", F.col(column)).drop("__pos", "__value")
     rest = df.filter(~F.coalesce(mask, F.lit(False))).withColumn(target, F.col(column)).withColumn("replaced", F.lit(None).cast(df.schema[column].dataType))
@@ -120,12 +121,11 @@ def segment_pairs(df: DataFrame, key: str, tokens: str, ends: str, num_tries: in
     x = x.withColumn("__a", F.slice(tokens, 1, F.col("__cut") + 1)).withColumn("__b", F.slice(F.col(tokens), F.col("__cut") + 2, F.col("__last") - F.col("__cut")))
     x = x.withColumn("__tail", F.slice(F.col(tokens), F.col("__last") + 2, F.size(tokens))).withColumn("__width", width)
     # rows in buckets by hash of key: a try picks a bucket, and the bucket's first row by hash answers
-    n = x.count()
-    buckets = max(1, n)
-    rows = x.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)))
+    buckets = F.greatest(F.lit(1), x.agg(F.count("*")).scalar())
+    rows = x.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), buckets))
     pool = rows.groupBy("__bucket").agg(F.min_by("__b", F.xxhash64(F.col(key), F.lit(seed + 1))).alias("__chunk"))
     tries = x.withColumn("__go", u(F.lit("go")) < prob).filter("__go").select(key, F.size("__a").alias("__na"), "__width", F.explode(F.sequence(F.lit(1), F.lit(num_tries))).alias("__t"))
-    tries = tries.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.col("__t"), F.lit(seed + 2)), F.lit(buckets)))
+    tries = tries.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.col("__t"), F.lit(seed + 2)), buckets))
     best = tries.join(pool, "__bucket").filter(F.size("__chunk") + 1 < F.col("__width") - F.col("__na") - 2)
     best = best.groupBy(key).agg(F.max_by("__chunk", F.struct(F.size("__chunk"), -F.col("__t"))).alias("__chunk"))
     x = x.join(best, key, "left")
