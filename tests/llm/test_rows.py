@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from turnback.llm import edit_embedding, license_scan, line_quality, mixing, packing, quality_rules, sharding
@@ -167,6 +168,87 @@ def test_marginals_match_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, wantp) and np.isclose(z, wantz)
 
 
+def test_marginals_of_long_documents():
+    """Blocks against the plain forward-backward recursion, one line at a time."""
+    rng = np.random.default_rng(3)
+    for n in (1, 63, 64, 65, 128, 129, 1000):
+        u, trans = rng.standard_normal(n) * 3, rng.standard_normal((2, 2))
+        e = np.stack([np.zeros(n), u], axis=1)
+        a, b = np.zeros((n, 2)), np.zeros((n, 2))
+        a[0] = e[0]
+        for t in range(1, n):
+            a[t] = np.logaddexp(a[t - 1][0] + trans[0], a[t - 1][1] + trans[1]) + e[t]
+        for t in range(n - 2, -1, -1):
+            x = e[t + 1] + b[t + 1]
+            b[t] = np.logaddexp(trans[:, 0] + x[0], trans[:, 1] + x[1])
+        want = 1 / (1 + np.exp((a + b)[:, 0] - (a + b)[:, 1]))
+        more = np.concatenate([u[:7], u, u[:70]])  # between two other documents
+        p, _, z = line_quality.forward_backward(more, trans, line_quality.Blocks(np.array([0, 0, min(7, n), min(7, n) + n, len(more)])), pairs=True)
+        assert np.allclose(p[min(7, n) : min(7, n) + n], want)
+        _, _, z = line_quality.forward_backward(u, trans, line_quality.Blocks(np.array([0, n])), pairs=True)
+        assert np.isclose(z, np.logaddexp(*a[-1]))
+
+
+def plain_features(t):
+    """A document's line features in plain Python."""
+    t = t or ""
+    lines = [(x, re.findall(WORD, x)) for x in t.split("\n")]
+    lines = [(x, w) for x, w in lines if w]
+    low = lambda w: w.translate(UP)
+    out = []
+    for x, w in lines:
+        raw, n = x.encode(), len(w)
+        count = lambda chars: sum(b in chars for b in raw)  # noqa: B023, E731
+        up, lo = sum(65 <= b <= 90 for b in raw), sum(97 <= b <= 122 for b in raw)
+        out.append([
+            np.log1p(n) / 4, len(raw) / n / 8, min(count(b"#*$%&|<>{}=~^_\\@") / n, 2), up / max(up + lo, 1), min(count(b"0123456789") / len(raw) * 4, 2), min(count(b"!?") / n, 2),
+            len({low(v) for v in w}) / n, sum(low(a) == low(b) for a, b in zip(w, w[1:])) / n, sum(len(v.encode()) <= 3 for v in w) / n, count(b".,;:'\"()-") / len(raw) * 8,
+            sum(b >= 192 for b in raw) / len(raw) * 4, float(sum(y == x for y, _ in lines) > 1), float(raw[-1:] in (b".", b"!", b"?")), float(n < 3),
+        ])
+    return np.array(out).reshape(-1, line_quality.N_OWN), [len(x.encode()) for x, _ in lines]
+
+
+def test_line_features_by_plain_python(odd_rows):
+    import pyarrow as pa
+
+    texts = [t for _, t, _ in odd_rows] + ["same same\nsame", "same", "1 2! 3?\n\n1 2! 3?"]
+    x, nb, loff = line_quality.line_features(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        f, n = plain_features(t)
+        assert np.allclose(x[loff[i] : loff[i + 1]], f) and nb[loff[i] : loff[i + 1]].tolist() == n
+
+
+def test_scores_depend_on_their_text_alone(spark, odd_rows):
+    import pyarrow as pa
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    crf = line_quality.fit(docs, labels, keep=line_quality.training_rows())
+    texts = [t for _, t, _ in odd_rows] + [r.text for r in docs.select("text").orderBy("doc_id").limit(300).collect()]
+    whole = crf.quality(*line_quality.line_features(pa.array(texts, pa.string())))
+    rng = np.random.default_rng(0)
+    order = rng.permutation(len(texts))
+    again = crf.quality(*line_quality.line_features(pa.array([texts[i] for i in order], pa.string())))
+    assert (again == whole[order]).all()
+    single = [crf.quality(*line_quality.line_features(pa.array([t], pa.string())))[0] for t in texts]
+    assert (np.array(single) == whole).all()
+    a, b = ({r.doc_id: r.score for r in line_quality.score(x, crf).collect()} for x in (docs, docs.repartition(7)))
+    assert a == b
+
+
+def test_training_samples_are_bounded(spark, odd, empty):
+    labels = spark.createDataFrame([(i % 40, i % 2, 0) for i in range(90)] + [(None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    x = quality_rules.labelled_sample(odd, labels, 25, F.lit(True)).collect()
+    assert len(x) == len({r.doc_id for r in x}) <= 25 and all(r.y in (0, 1) for r in x)
+    assert quality_rules.labelled_sample(empty, labels, 25, F.lit(True)).count() == 0
+    assert line_quality.fit(odd, labels, most_lines=60) is not None
+
+
+def test_held_out_of_a_null_id(spark):
+    x = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long").select("doc_id", (~line_quality.training_rows()).alias("h")).collect()
+    assert [r.h for r in x] == [False, *(zlib.crc32(str(i).encode()) % 3 == 1 for i in (1, 2))]
+
+
 def test_edit_embedding(odd, odd_rows, spark):
     rows = sorted(((d, t) for d, t, _ in odd_rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1] is not None, r[1] or ""))
     want = []

@@ -5,7 +5,9 @@ are documents' labels, so a line starts with its document's label and, in a bad
 (its worst line always stays bad). A document's quality is the mean of its lines' marginal probabilities of being
 good, from the forward-backward algorithm, weighted by length, then calibrated on the training documents.
 
-The forward-backward passes run over all documents of a batch at once, one line index at a time.
+The forward-backward passes run over all blocks of ``BLOCK`` lines of a batch at once, one line index at a time, with the
+2 x 2 transfer matrices of a block's lines; the blocks of a document then follow each other. So a document of n lines
+costs about BLOCK + n / BLOCK steps. Everything is computed by line or by document: a score depends on its text alone.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import buf
+from . import buf, work
 from .quality_rules import labelled_sample
 
 _SYM, _UP, _LOW, _DIG, _PUN, _HI, _BANG = (np.zeros(256, bool) for _ in range(7))
@@ -28,6 +30,7 @@ _PUN[[ord(c) for c in ".,;:'\"()-"]] = True
 _HI[192:] = True
 _BANG[[ord(c) for c in "!?"]] = True
 N_OWN = 14
+BLOCK = 64
 
 
 def line_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +60,7 @@ def line_features(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     same = np.zeros(len(h), bool)
     if len(h) > 1:
-        same[1:] = h[1:] == h[:-1]
+        same[1:] = (h[1:] == h[:-1]) & (wline[1:] == wline[:-1])
     types = np.zeros(len(nw))
     if len(h):
         _, one = np.unique(buf.mix(h + wline.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True)
@@ -89,6 +92,84 @@ def with_neighbours(x: np.ndarray, loff: np.ndarray) -> np.ndarray:
     return np.hstack([x, x * x, prev, nxt, first, last, np.ones((n, 1))])
 
 
+class Blocks:
+    """The lines of documents in blocks of at most ``BLOCK``, the longest blocks first."""
+
+    def __init__(self, loff: np.ndarray):
+        n = np.diff(loff)
+        self.n = int(loff[-1])
+        has = np.flatnonzero(n)
+        count = -(-n[has] // BLOCK)
+        self.docs = len(has)
+        doc = np.repeat(np.arange(self.docs), count)
+        rank = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)  # in its document
+        start = loff[:-1][has][doc] + rank * BLOCK
+        size = np.minimum(BLOCK, loff[1:][has][doc] - start)
+        self.of_line = np.repeat(np.arange(len(doc)), size)  # blocks lie in order of lines
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+        self.steps = [start[order[:k]] + t for t, k in enumerate(live)]  # the lines at index t of their block
+        self.start, self.last, self.doc, self.rank = start, start + size - 1, doc, rank
+        by = np.argsort(rank, kind="stable")
+        self.rounds = np.split(by, np.searchsorted(rank[by], np.arange(1, int(rank.max(initial=0)) + 1))) if len(doc) else []
+        self.follows = np.ones(self.n, bool)  # the line has one after it in its document
+        self.follows[loff[1:][has] - 1] = False
+        self.follows = np.flatnonzero(self.follows)
+
+
+def forward_backward(u: np.ndarray, trans: np.ndarray, b: Blocks, pairs: bool = False):
+    """Marginals of a two-label chain with scores ``u`` of label 1 and ``trans``, in scaled probabilities."""
+    n = len(u)
+    t = np.exp(trans)
+    good = 1 / (1 + np.exp(-np.clip(u, -500, 500)))
+    e = np.stack([1 - good, good], axis=1)
+    e = np.maximum(e, 1e-300)
+
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = x.sum(axis=tuple(range(1, x.ndim)))
+        return x / z.reshape(-1, *[1] * (x.ndim - 1)), z
+
+    # from the state before a block to that of each of its lines; before a document there is state 0 alone
+    f, scale = np.zeros((n, 2, 2)), np.zeros(n)
+    for k, i in enumerate(b.steps):
+        if k:
+            x = (f[i - 1][:, :, :, None] * t).sum(axis=2) * e[i][:, None, :]
+        else:
+            opens = np.zeros(n, bool)
+            opens[b.start[b.rank == 0]] = True
+            x = np.where(opens[i][:, None, None], 1.0, t) * e[i][:, None, :]
+        f[i], z = unit(x)
+        scale[i] = np.log(z) + (scale[i - 1] if k else 0)
+    before, log_z = np.zeros((len(b.start), 2)), np.zeros(b.docs)
+    state = np.tile([1.0, 0.0], (b.docs, 1))
+    for r in b.rounds:
+        before[r] = state[b.doc[r]]
+        state[b.doc[r]], z = unit((before[r][:, :, None] * f[b.last[r]]).sum(axis=1))
+        log_z[b.doc[r]] += np.log(z) + scale[b.last[r]]
+    alpha, _ = unit((before[b.of_line][:, :, None] * f).sum(axis=1))
+    # from the state of a line to that of its block's last line
+    g = np.zeros((n, 2, 2))
+    g[b.last] = np.eye(2)
+    inner = np.ones(n, bool)
+    inner[b.last] = False
+    for i in b.steps[::-1]:
+        i = i[inner[i]]
+        g[i], _ = unit((t[None, :, :, None] * (e[i + 1][:, :, None] * g[i + 1])[:, None]).sum(axis=2))
+    after = np.ones((len(b.start), 2))
+    for r in b.rounds[:0:-1]:
+        h = b.start[r]
+        x = e[h] * (g[h] * after[r][:, None, :]).sum(axis=2)
+        after[r - 1], _ = unit((t[None] * x[:, None, :]).sum(axis=2))  # a document's blocks are neighbours
+    beta, _ = unit((g * after[b.of_line][:, None, :]).sum(axis=2))
+    both = alpha * beta
+    p = both[:, 1] / both.sum(axis=1)
+    if not pairs:
+        return p
+    i = b.follows
+    q, _ = unit(alpha[i][:, :, None] * t * (e[i + 1] * beta[i + 1])[:, None, :])
+    return p, q.sum(0), log_z.sum() + np.logaddexp(0, u).sum()
+
+
 @dataclass
 class Field:
     """weights of the good label, 2 x 2 transition scores, and the document's calibration (slope, shift)."""
@@ -103,49 +184,16 @@ class Field:
 
     def marginals(self, f: np.ndarray, loff: np.ndarray, pairs: bool = False):
         """P(good) of every line; with ``pairs`` the summed pair marginals (2 x 2) and the log partition sum too."""
-        u = f @ self.weights
-        e = np.stack([np.zeros_like(u), u], axis=1)
-        n = np.diff(loff)
-        order = np.argsort(-n, kind="stable")
-        n, start = n[order], loff[:-1][order]
-        steps = int(n[0]) if len(n) else 0
-        alpha = np.zeros((len(u), 2))
-        live = np.searchsorted(-n, -np.arange(steps), "left")  # documents with more than t lines
-        a = None
-        for t in range(steps):
-            i = start[: live[t]] + t
-            if t == 0:
-                a = e[i]
-            else:
-                a = a[: live[t]]
-                s = a[:, :, None] + self.trans[None]
-                m = s.max(1)
-                a = m + np.log(np.exp(s - m[:, None]).sum(1)) + e[i]
-            alpha[i] = a
-        beta = np.zeros((len(u), 2))
-        for t in range(steps - 2, -1, -1):
-            k = live[t + 1]
-            i = start[:k] + t
-            s = self.trans[None] + (beta[i + 1] + e[i + 1])[:, None, :]
-            m = s.max(2)
-            beta[i] = m + np.log(np.exp(s - m[:, :, None]).sum(2))
-        g = alpha + beta
-        p = 1 / (1 + np.exp(np.clip(g[:, 0] - g[:, 1], -500, 500)))
-        if not pairs:
-            return p
-        m = g.max(1)
-        z = m + np.log(np.exp(g - m[:, None]).sum(1))
-        both = np.ones(len(u), bool)
-        both[loff[1:][np.diff(loff) > 0] - 1] = False
-        i = np.flatnonzero(both)
-        q = np.exp(alpha[i][:, :, None] + self.trans[None] + (e[i + 1] + beta[i + 1])[:, None, :] - z[i][:, None, None])
-        return p, q.sum(0), z[loff[:-1][np.diff(loff) > 0]].sum()
+        return forward_backward((f * self.weights).sum(axis=1), self.trans, Blocks(loff), pairs)
 
     def quality(self, x: np.ndarray, nb: np.ndarray, loff: np.ndarray, raw: bool = False) -> np.ndarray:
         """Every document's score; documents without a line get the training share of good ones among such."""
         p = self.marginals((with_neighbours(x, loff) - self.centre) / self.scale, loff)
         total = buf.row_sum(nb, loff)
-        q = buf.row_sum(p * nb, loff) / np.maximum(total, 1e-9)
+        q = np.zeros(len(loff) - 1)
+        has = np.flatnonzero(np.diff(loff))
+        if len(has):  # summed document by document, so that the other rows don't matter
+            q[has] = np.add.reduceat(p * nb, loff[has]) / np.maximum(total[has], 1e-9)
         if raw:
             return q
         q = np.clip(q, 1e-4, 1 - 1e-4)
@@ -161,13 +209,12 @@ def train(x: np.ndarray, nb: np.ndarray, loff: np.ndarray, y: np.ndarray, rounds
     doc = buf.row_of(loff)
     good = y[doc].astype(bool)
     crf = Field(np.zeros(f.shape[1]), np.zeros((2, 2)), centre=centre, scale=scale)
-    both = np.ones(len(f), bool)
-    both[loff[1:][np.diff(loff) > 0] - 1] = False
-    pair = np.flatnonzero(both)
+    blocks = Blocks(loff)
+    pair = blocks.follows
     m = v = np.zeros(f.shape[1] + 4)
     for r in range(rounds):
         if r:  # lines of bad documents that look good are good, but for the worst
-            p = crf.marginals(f, loff)
+            p = forward_backward(f @ crf.weights, crf.trans, blocks)
             worst = np.full(len(y), np.inf)
             np.minimum.at(worst, doc, p)
             good = y[doc].astype(bool) | ((p > 0.5) & (p > worst[doc]))
@@ -176,7 +223,7 @@ def train(x: np.ndarray, nb: np.ndarray, loff: np.ndarray, y: np.ndarray, rounds
         target = f.T @ good
         m = v = np.zeros(f.shape[1] + 4)
         for k in range(1, steps + 1):
-            p, q, _ = crf.marginals(f, loff, pairs=True)
+            p, q, _ = forward_backward(f @ crf.weights, crf.trans, blocks, pairs=True)
             grad = np.concatenate([(target - f.T @ p) / len(f) - l2 * crf.weights, (emp - q).ravel() / len(f) - 10 * l2 * crf.trans.ravel()])
             m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
             step = 0.1 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.99**k)) + 1e-8)
@@ -198,16 +245,31 @@ def train(x: np.ndarray, nb: np.ndarray, loff: np.ndarray, y: np.ndarray, rounds
     return crf
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, keep: F.Column | None = None) -> Field | None:
-    """Train on at most ``most`` labelled documents (those with the least md5 of their id). None without both labels."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = 3000, keep: F.Column | None = None, most_lines: int = 200_000) -> Field | None:
+    """Train on at most ``most`` labelled documents, those with the least md5 of their id, and at most ``most_lines`` lines.
+
+    Documents are taken in that order; one that would exceed the lines left is passed over. What comes to the driver is
+    bounded by both. None without both labels. An id that repeats is one document: its greatest label, its least text.
+    Null ids and null labels aren't trained on; null, empty and blank texts teach the score of texts without a line. An
+    empty table of either kind gives None. Extra columns are ignored.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in buf.pieces(batches):
             x, nb, loff = line_features(b.column(0))
             rows = [np.column_stack([x[s:e], nb[s:e]]).ravel() for s, e in zip(loff[:-1], loff[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    rows = labelled_sample(docs, labels, most, F.lit(True) if keep is None else keep)
+    kept = work.table(labelled_sample(docs, labels, most, F.lit(True) if keep is None else keep), "sample")
+    sizes = kept.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n")).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").collect()  # at most ``most``
+    left, out = most_lines, []
+    for d, n in sizes:
+        if n > left:
+            out.append(d)
+        else:
+            left -= max(n, 0)
+    rows = kept.filter(~F.col("doc_id").isin(out)) if out else kept
     got = rows.select("text", F.col("y").cast("int")).mapInArrow(run, "x array<double>, y int").toArrow()
+    work.drop(kept)
     y = got.column(1).to_numpy().astype(np.float64)
     if not 0 < y.sum() < len(y):
         return None
@@ -236,7 +298,11 @@ def score(docs: DataFrame, crf: Field | None, id_col: str = "doc_id", text_col:
 
 
 def keep(docs: DataFrame, crf: Field | None, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (a column text and any others) whose score reaches ``threshold``; all of them without a model."""
+    """The rows of ``docs`` (a column text and any others) whose score reaches ``threshold``; all of them without a model.
+
+    Null, empty and blank texts stay or go together, by the score of texts without a line; repeated rows likewise. Ids
+    aren't read; all columns are kept as they are, whatever their names; an empty table stays empty.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in buf.pieces(batches):
             yield b if crf is None else b.filter(pa.array(crf.quality(*line_features(b.column("text"))) >= threshold))
@@ -245,7 +311,8 @@ def keep(docs: DataFrame, crf: Field | None, threshold: float = 0.5) -> DataFram
 
 
 def training_rows() -> F.Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1
+    """Rows that labels may be learnt from; a null id is none of the held-out ones."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1, F.lit(True))
 
 
 def op9_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

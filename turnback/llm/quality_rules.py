@@ -167,14 +167,23 @@ def train(x: np.ndarray, y: np.ndarray, signs: tuple[int, ...], trees: int = 60,
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, keep: F.Column) -> DataFrame:
-    """text, y of at most ``most`` labelled documents, those with the least md5 of their id among the rows of ``keep``."""
-    ids = labels.filter(keep & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
+    """doc_id, text, y of at most ``most`` labelled documents, those with the least md5 of their id among the rows of ``keep``.
+
+    One row per id: its greatest label that isn't null and its least text. Labels without a document and null ids are
+    passed over.
+    """
+    ids = labels.filter(keep & F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("y"))
     ids = ids.orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "y")  # at most ``most`` rows
+    x = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most ``most`` rows
+    return x.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 8000, keep: F.Column | None = None, **how) -> Forest:
-    """Train on at most ``most`` labelled rows. Without labels the forest is its bias alone (score 1/2)."""
+    """Train on at most ``most`` labelled rows, a few numbers each. Without labels the forest is its bias alone (score 1/2).
+
+    Repeated ids, null ids and null labels as in :func:`labelled_sample`; null and empty texts have counts of 0. Texts of any
+    length are read whole; empty tables give the bias alone; extra columns are ignored.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in buf.pieces(batches):
             _, x = statistics(b.column(0))
