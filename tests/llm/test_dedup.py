@@ -62,10 +62,21 @@ def test_links_of_dense_and_random_fingerprints(spark):
 
 
 def test_survivors(odd, odd_rows):
-    got = simhash.survivors(odd)
-    assert got.columns == odd.columns
-    near = simhash.near_duplicates(odd).toPandas()
-    assert got.count() == len(set(near.component_id.fillna(-1)))
+    from pyspark.sql import functions as F
+
+    x = odd.withColumn("h", F.lit(1)).withColumn("d", F.lit("d"))
+    got = simhash.survivors(x)
+    assert got.columns == x.columns
+    ids, prints = [d for d, _, _ in odd_rows], np.array([fp(t) for _, t, _ in odd_rows], np.uint64)
+    comp = [c for _, _, _, c in brute_near(ids, prints)]
+    groups = defaultdict(set)
+    for (d, t, _), c, p in zip(odd_rows, comp, prints):
+        groups[c if c is not None else f"alone {p}"].add((d is None, d or 0, t))
+    have = [(r.doc_id is None, r.doc_id or 0, r.text) for r in got.collect()]
+    assert len(have) == len(groups)
+    for g in groups.values():
+        (one,) = [x for x in have if x in g]
+        assert one[:2] == min(x[:2] for x in g)
 
 
 @pytest.mark.parametrize("one_task", [0, 10**6])

@@ -392,7 +392,34 @@ def test_sharding(odd, odd_rows, empty):
             assert x[x.shard.str.startswith(s[:-1])].n_bytes.sum() > 4000
 
 
-def test_sharding_writes_folders(spark, sf, tmp_path):
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sharding.write_shards(docs, str(tmp_path / "out"), 100_000)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+def test_sharding_writes_every_row_once(spark, odd, empty, tmp_path):
+    x = odd.withColumn("page", F.lit("p")).withColumn("shard", F.lit(1)).withColumn("in_shard", F.lit(2))
+    for limit in (4000, 300, 10**9):
+        got = sharding.write_shards(x, str(tmp_path / f"out{limit}"), limit)
+        back = [c for c in got.columns if c in x.columns]
+        assert back == x.columns
+        assert Counter(map(tuple, got.select(*back).collect())) == Counter(map(tuple, x.collect()))
+        extra = [c for c in got.columns if c not in x.columns]
+        per = got.groupBy(*extra).agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("k")).collect()
+        assert all((r.n or 0) <= limit or r.k == 1 for r in per)
+    assert sharding.write_shards(empty, str(tmp_path / "none")).count() == 0
+
+
+def test_overflow_pages(spark):
+    """One id on a third of the rows, and null ids."""
+    rows = [(7, "x" * (i % 50)) for i in range(300)] + [(None, "y" * 90)] * 50 + [(7, "z" * 500)] * 3 + [(i, "t") for i in range(100, 400)]
+    x = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 200).toPandas()
+    assert len(x) == len(rows)
+    per = x.groupby(["shard", "page"]).agg(n=("n_bytes", "sum"), k=("n_bytes", "size"))
+    assert ((per.n <= 200) | (per.k == 1)).all() and x.page.max() > 10
+
+
+def test_emission_copies_rows_as_the_mix_says(spark, odd):
+    x = odd.withColumn("d", F.lit(1)).withColumn("total", F.lit("t"))
+    mixed = mixing.mix(x).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("c")).filter("c > 0").collect()
+    got = mixing.emit(x)
+    assert got.columns == x.columns
+    have = got.select("doc_id", "source", F.xxhash64(*got.columns).alias("h")).groupBy("doc_id", "source", "h").count().collect()
+    same([tuple(r) for r in have], [tuple(r) for r in mixed])
+    hot = spark.createDataFrame([(1, "a b", "s")] * 2500 + [(2, "c d e", "t")], "doc_id long, text string, source string")
+    assert mixing.emit(hot).count() == mixing.mix(hot).agg(F.sum("copies")).first()[0] > 1000

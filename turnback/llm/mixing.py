@@ -11,7 +11,7 @@ of the partitions before it, so that a source with a third of all rows is never
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import work
@@ -20,10 +20,15 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Equal for rows that agree in every column."""
+    return F.xxhash64(*(docs[c] for c in docs.columns))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size in words (null text: 0), h (a hash of the text)."""
+    """doc_id, source, size in words (null text: 0), h (a hash of the whole row)."""
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), F.xxhash64(docs[text_col]).alias("h"))
+    return docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), size.alias("size"), row_hash(docs).alias("h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -85,20 +90,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST,
 def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, seed: int = 6) -> DataFrame:
     """The mixed corpus: each row of ``docs`` (columns doc_id, text, source and any others) once per copy.
 
-    Documents meet their copies by id, source and a hash of the text. Rows that repeat all three are numbered and take
-    one entry each of their list of copies.
+    Documents meet their copies by id, source and a hash of all columns. Rows that agree in all of them are
+    interchangeable: one of them stands for the copies of all, so a row that repeats without bound is a count and never
+    a list. Null ids, texts and sources, empty texts, ties and long texts as in :func:`mix`; an empty table gives an
+    empty result; columns may have any names.
     """
     cols = docs.columns
-    one = mix(docs.select("doc_id", "source", "text"), weights, most, seed)
-    one = one.groupBy("doc_id", "source", "h").agg(F.collect_list("copies").alias("__c"))
-    one = one.filter(F.exists("__c", lambda c: c > 0)).select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("h").alias("__h"), "__c")
-    x = docs.withColumn("__k", F.xxhash64("text"))
-    x = x.join(one, x["doc_id"].eqNullSafe(one["__d"]) & x["source"].eqNullSafe(one["__s"]) & (x["__k"] == one["__h"]))
-    single = x.filter(F.size("__c") == 1).withColumn("__n", F.element_at("__c", 1))
-    i = F.row_number().over(Window.partitionBy("__d", "__s", "__h").orderBy("__k"))
-    several = x.filter(F.size("__c") > 1).withColumn("__i", i).withColumn("__n", F.element_at("__c", F.col("__i"))).drop("__i")
-    x = single.unionByName(several).filter("__n > 0")
-    return x.withColumn("__e", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*cols)
+    d, s, h, k, total, n, e = work.free(cols, "d", "s", "h", "k", "total", "n", "e")
+    one = mix(docs, weights, most, seed).groupBy(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("h").alias(h))
+    one = one.agg(F.sum("copies").alias(total), F.count("*").alias(n)).filter(F.col(total) > 0)
+    x = docs.withColumn(k, row_hash(docs))
+    x = x.join(one, x["doc_id"].eqNullSafe(one[d]) & x["source"].eqNullSafe(one[s]) & (x[k] == one[h]))
+    x = x.filter(F.col(n) == 1).unionByName(x.filter(F.col(n) > 1).dropDuplicates([d, s, h]))
+    step = 1000  # copies are spread in two steps, so that no list grows with their number
+    x = x.withColumn(e, F.explode(F.sequence(F.lit(0), F.floor((F.col(total) - 1) / step))))
+    return x.withColumn(e, F.explode(F.sequence(F.lit(1), F.least(F.lit(step), F.col(total) - F.col(e) * step)))).select(*(f"`{c}`" for c in cols))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

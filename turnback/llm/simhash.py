@@ -170,17 +170,23 @@ def near_duplicates(docs: DataFrame, bits: int = 6, id_col: str = "doc_id", text
 
 def survivors(docs: DataFrame, bits: int = 6) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with one row of each component: that of the least id and, among
-    rows of one id, the least text hash; rows that repeat both are one."""
+    rows of one id, the least text hash; rows that repeat both are one.
+
+    A component of null ids alone keeps one row, too. Null and empty texts have fingerprint zero and are one
+    component with whatever is near it; texts of any length are read whole; an empty table stays empty; columns may have any names.
+    """
+    cols = docs.columns
+    h, d, t, n = work.free(cols, "h", "d", "t", "n")
     near = near_duplicates(docs, bits)
     known = near.groupBy("component_id", F.when(near["component_id"].isNull(), near["fingerprint"]).alias("alone"), "doc_id", "tid").agg(F.count("*").alias("n"))
     best = known.groupBy("component_id", "alone").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid", "n")).alias("m"))
-    best = work.table(best.select(F.col("m.doc_id").alias("__d"), F.col("m.tid").alias("__t"), F.col("m.n").alias("__n")), "survivors")
-    x = docs.withColumn("__h", F.xxhash64("text"))
-    x = x.join(best, x["doc_id"].eqNullSafe(best["__d"]) & (x["__h"] == best["__t"]))
-    if best.filter("__n > 1").isEmpty():
-        return x.select(*docs.columns)
-    again = x.filter("__n > 1").dropDuplicates(["doc_id", "__h"])
-    return x.filter("__n = 1").unionByName(again).select(*docs.columns)
+    best = work.table(best.select(F.col("m.doc_id").alias(d), F.col("m.tid").alias(t), F.col("m.n").alias(n)), "survivors")
+    x = docs.withColumn(h, F.xxhash64("text"))
+    x = x.join(best, x["doc_id"].eqNullSafe(best[d]) & (x[h] == best[t]))
+    if best.filter(F.col(n) > 1).isEmpty():
+        return x.select(*(f"`{c}`" for c in cols))
+    again = x.filter(F.col(n) > 1).dropDuplicates(["doc_id", h])
+    return x.filter(F.col(n) == 1).unionByName(again).select(*(f"`{c}`" for c in cols))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,6 +40,17 @@ def waves(dfs: list[DataFrame], name: str, *by: str) -> DataFrame:
     return out
 
 
+def free(taken: list[str], *names: str) -> list[str]:
+    """Column names like ``names`` that aren't taken."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
 def tidy() -> None:
     """In a Python worker: give memory that the last piece of work freed back to the system."""
     import ctypes
