@@ -284,14 +284,91 @@ def test_walk_is_near_for_small_edits():
     assert (np.vstack([w.embed([x]) for x in (t, near, far)]) == fp[:3]).all()
 
 
-def test_near_pairs_finds_copies(spark):
+def plain_walk(text, walk):
+    """One text's fingerprint, character by character."""
+    out, pos, j = np.zeros(walk.places, np.uint8), 0, 0
+    one = lambda x: np.array([x], np.uint32)
+    while pos < len(text):
+        walk.until(j + 1)
+        code = edit_embedding.scatter(one(ord(text[pos])))
+        for s in walk.at.get(j, []):
+            out[s] = int(edit_embedding.scatter(code ^ walk.salt[s])[0]) >> 24
+        r = edit_embedding.buf.mix(np.array([j], np.uint64) + np.uint64(walk.seed)).astype(np.uint32)
+        pos += (int(code[0]) ^ int(r[0])) * 0x9E3779B1 % 2**32 >> 31
+        j += 1
+    return out
+
+
+def test_walk_by_plain_python():
+    w = edit_embedding.Walk()
+    texts = ["", "a", "héllo 🙂 wörld", "th on er " * 40, "\x00\x00x"]
+    assert (w.embed(texts) == np.stack([plain_walk(t, w) for t in texts])).all()
+
+
+def test_all_characters_are_told_apart():
+    """A changed character shows wherever a place samples it."""
+    w = edit_embedding.Walk()
+    alphabet = "!i1yt,%Æcgopelqhnx 日🙂"
+    prints = {bytes(w.embed([c * 12])[0]) for c in alphabet}
+    assert len(prints) == len(alphabet)
+
+
+def brute_classes(texts, least, walk):
+    """Per text (least index of its class, number of distinct fingerprints linked)."""
+    fps = walk.embed(texts)
+    u, inv = np.unique(fps, axis=0, return_inverse=True)
+    inv = inv.reshape(-1)
+    m = (u[:, None] == u[None]).mean(axis=2) >= least - 1e-12
+    label = np.arange(len(u))
+    while True:
+        new = np.array([label[m[i]].min() for i in range(len(u))])
+        if (new == label).all():
+            break
+        label = new
+    first = {}
+    for i, v in enumerate(label[inv]):
+        first.setdefault(v, i)
+    return [first[v] for v in label[inv]], (m.sum(axis=1) - 1)[inv]
+
+
+@pytest.mark.parametrize("block", [2048, 40])
+def test_near_classes_by_brute_force(spark, block):
+    """Random texts, copies, edits at all distances, and a dense bucket of 150 near copies, in blocks and in one."""
     rng = np.random.default_rng(1)
-    texts = ["".join(rng.choice(list("abcdefgh "), 1500)) for _ in range(30)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, t) for i, t in enumerate(texts[:5])] + [(200 + i, t[:700] + "Z" + t[700:]) for i, t in enumerate(texts[:10])]
-    x = edit_embedding.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), least=0.75).toPandas().set_index("doc_id")
-    assert all(x.class_id[100 + i] == x.class_id[i] for i in range(5))
-    assert np.mean([x.class_id[200 + i] == x.class_id[i] for i in range(10)]) >= 0.9
-    assert x.class_id.nunique() >= 30
+    draw = lambda n: "".join(rng.choice(list("abcdefgh "), n))
+    texts = [draw(1500) for _ in range(30)]
+    texts += texts[:5]
+    for t in texts[:15]:
+        at = sorted(rng.integers(0, 1400, rng.integers(1, 12)))
+        texts.append("".join(t[a:b] + "Z" for a, b in zip([0, *at], [*at, len(t)])))
+    hot = draw(2000)
+    texts += [hot[:k] + draw(3) + hot[k:] for k in rng.integers(0, 1900, 150).tolist()]
+    texts += [None, "", "x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = edit_embedding.near_pairs(df, least=0.75, block=block).toPandas().sort_values("doc_id")
+    cls, links = brute_classes([t or "" for t in texts], 0.75, edit_embedding.Walk())
+    assert len(got) == len(texts) and links.max() > 50
+    assert got.links.sum() >= 0.9 * links.sum() and (got.links.to_numpy() <= links).all()  # recall of links, and nothing else
+    assert np.mean(got.class_id.to_numpy() == cls) >= 0.9
+    assert got.class_id.iloc[-3] == got.class_id.iloc[-2] == len(texts) - 3
+
+
+def test_near_classes_of_odd_rows(odd, odd_rows):
+    x = odd.withColumn("node", F.lit(1)).withColumn("root", F.lit(1))
+    got = edit_embedding.near_pairs(x).collect()
+    assert Counter(r.doc_id for r in got) == Counter(d for d, _, _ in odd_rows)
+    by = {}
+    for d, t, _ in odd_rows:
+        by.setdefault(t or "", set()).add(d)
+    whole = edit_embedding.near_pairs(x.repartition(5)).collect()
+    same([tuple(r) for r in got], [tuple(r) for r in whole])
+    assert all(r.class_id is not None for r in got if r.doc_id is not None)
+
+
+def test_query_4_has_classes(spark, sf):
+    x = edit_embedding.op4_edit_embedding(spark, sf).toPandas()
+    assert len(x) == 200 and (x.class_id <= x.doc_id).all()
+    assert (x[x.links > 0].groupby("class_id").size() > 1).all() and x.groupby("fingerprint").class_id.nunique().max() == 1
 
 
 def check_pack(rows, got, width=1024):
@@ -359,6 +436,38 @@ def sql(query, rows):
     return con.sql(query)
 
 
+def test_license_scan_matches_sql(odd, odd_rows):
+    got = license_scan.scan_licenses(odd).collect()
+    same([tuple(r) for r in got], sql(license_scan.ORACLE_3, odd_rows).fetchall())
+
+
+@pytest.mark.parametrize("label", list(license_scan.TEMPLATES))
+def test_license_scores_of_near_misses(label):
+    """One mandatory word changed at a time, scored by brute force; and labels by the regular expression of each template."""
+    runs = license_scan.mandatory_runs(license_scan.TEMPLATES[label])
+    plain = [w.decode() for r in runs for w in r]
+    s = license_scan.Scanner({label: license_scan.TEMPLATES[label]}, {})
+    assert s.scan(("aa bb " + " ".join(min(variants(license_scan.TEMPLATES[label]), key=len))).encode())[5:] == ({label}, 1.0)
+    for i in range(0, len(plain), 3):
+        text = plain[:i] + ["zz"] + plain[i + 1 :]
+        there = sum(len(r) for r in runs if any([w.decode() for w in r] == text[k : k + len(r)] for k in range(len(text))))
+        assert s.scan(" ".join(text).encode())[5:] == (set(), there / len(plain))
+        hit = re.search(license_scan.pattern(license_scan.TEMPLATES[label]), " " + " ".join(text) + " ")
+        assert hit is None
+
+
+def test_op3_and_op8_match_sql(spark, sf):
+    from turnback.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for name in ("op3_license_scan", "op8_substring_dedup"):
+        got = queries.QUERIES[name](spark, sf)
+        want = con.sql(queries.ORACLES[name])
+        at = [want.columns.index(c) for c in got.columns]
+        same([tuple(r) for r in got.collect()], [tuple(r[i] for i in at) for r in want.fetchall()])
+
+
 def test_mixing_matches_sql(odd, odd_rows):
     got = mixing.mix(odd).selectExpr("doc_id", "size", "source_size", "target", "copies * size as taken").collect()
     # rows of one id and size may swap their copies: they're the same to the mix

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from .edit_embedding import op4_edit_embedding
 from .language_model import op1_language_model
-from .license_scan import op3_license_scan
+from .license_scan import ORACLE_3, op3_license_scan
 from .line_quality import op9_line_quality
 from .mixing import ORACLE_6, op6_mixing
 from .packing import op2_related_packing
 from .quality_rules import op10_quality_rules
 from .sharding import ORACLE_7, op7_sharding
 from .simhash import op5_simhash
-from .substring_dedup import op8_substring_dedup
+from .substring_dedup import ORACLE_8, op8_substring_dedup
 
 QUERIES = {
     "op1_language_model": op1_language_model,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_line_quality": op9_line_quality,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES = {"op6_mixing": ORACLE_6, "op7_sharding": ORACLE_7}
+ORACLES = {"op3_license_scan": ORACLE_3, "op6_mixing": ORACLE_6, "op7_sharding": ORACLE_7, "op8_substring_dedup": ORACLE_8}

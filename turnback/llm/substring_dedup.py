@@ -286,3 +286,15 @@ def cut(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True).drop("tid")
+
+
+ORACLE_8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, unnest(h) AS h, unnest(range(len(h))) AS i FROM (SELECT doc_id, list_transform(range(greatest(len(w) - 49, 0)), lambda i: md5(array_to_string(w[i + 1:i + 50], ' '))) AS h FROM d)),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+s AS (SELECT g.doc_id, g.i, 1 AS hit FROM g JOIN m ON m.h = g.h WHERE m.least < g.doc_id),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+c AS (SELECT x.doc_id, x.i, x.word, coalesce(max(s.hit) OVER (PARTITION BY x.doc_id ORDER BY x.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), 0) AS gone FROM x LEFT JOIN s ON s.doc_id = x.doc_id AND s.i = x.i),
+k AS (SELECT doc_id, count(*) AS n, sum(gone) AS r, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(k.n, 0)::BIGINT AS n_words, coalesce(k.r, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
