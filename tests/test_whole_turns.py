@@ -21,7 +21,13 @@ def test_nsp_pairs(spark, long_turns):
 
 
 def test_pack_roundtrip(spark, long_turns, monkeypatch):
-    assert all(r["same"] for r in catalog.pack_roundtrip(spark, long_turns).collect())
+    whole = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{long_turns}/conversations.parquet").collect()}
+    assert {(r["conv_id"], r["turn"]): r["back"] for r in catalog.pack_roundtrip(spark, long_turns).collect()} == whole
     unpack = catalog.packing.unpack
     monkeypatch.setattr(catalog.packing, "unpack", lambda *a: unpack(*a).withColumn("back", F.slice("back", 1, 128)))
-    assert [r["turn"] for r in catalog.pack_roundtrip(spark, long_turns).collect() if not r["same"]].count(1) == 2
+    assert sum(whole[r["conv_id"], r["turn"]] != r["back"] for r in catalog.pack_roundtrip(spark, long_turns).collect()) == 4
+
+
+def test_packs_hold_whole_turns(spark, long_turns):
+    got = catalog.pack_sequences(spark, long_turns).collect()
+    assert sorted(r["end"] - r["start"] for r in got) == sorted([3, 299, 130, 0, 70] * 2)

@@ -11,6 +11,7 @@ import difflib
 import json
 import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,28 +29,22 @@ def script(source: str | None, target: str | None) -> str | None:
         return "[]"
     ops = []
     if len(source) == len(target) > SHORT:
-        i = 0
-        while i < len(source):  # the places that differ
-            if source[i] == target[i]:
-                i += 1
-                continue
-            j = i
-            while j < len(source) and source[j] != target[j]:
-                j += 1
-            ops.append(["i", i, j, target[i:j]])
-            i = j
-        if sum(len(o[3]) for o in ops) <= len(source) // 2:
-            return json.dumps(ops)
-        ops = []
-    if max(len(source), len(target)) > LIMIT:
+        same = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), np.uint32) == np.frombuffer(target.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if 2 * int(same.sum()) >= len(source):  # the places that differ
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], same, [True]])))
+            return json.dumps([["i", i, j, target[i:j]] for i, j in zip(edge[::2].tolist(), edge[1::2].tolist())])
+    head = 0
+    if max(len(source), len(target)) > SHORT:  # what longer texts have in common at their ends needs no comparison
         head = len(os.path.commonprefix([source, target]))
         tail = len(os.path.commonprefix([source[head:][::-1], target[head:][::-1]]))
-        a, b = source[head : len(source) - tail], target[head : len(target) - tail]
-        ops.append(["i" if b else "d", head, head + len(a), b])
+        source, target = source[head : len(source) - tail], target[head : len(target) - tail]
+    if max(len(source), len(target)) > LIMIT or not source or not target:
+        if source or target:
+            ops.append(["i" if target else "d", head, head + len(source), target])
     else:
         for tag, i, j, k, m in difflib.SequenceMatcher(None, source, target).get_opcodes():
             if tag != "equal":
-                ops.append(["d" if tag == "delete" else "i", i, j, target[k:m] if tag != "delete" else ""])
+                ops.append(["d" if tag == "delete" else "i", head + i, head + j, target[k:m] if tag != "delete" else ""])
     return json.dumps(ops)
 
 

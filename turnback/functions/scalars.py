@@ -62,6 +62,12 @@ def nested(fn: Callable[..., Column], depth: int, cols: Sequence[Column], flat:
     return F.transform(cols[lead], at)
 
 
+def hashed_long(*parts: Column) -> Column:
+    """A number of 52 bits from values, by md5 of their texts: the same on every run, partitioning and retry, and in SQL."""
+    text = F.concat_ws("|", *(p.cast("string") for p in parts))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
+
+
 def hashed_uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from values: the same on every run, partitioning and retry."""
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A number in [0, 1) from values, as :func:`hashed_long`."""
+    return hashed_long(*parts) / F.lit(float(1 << 52))

@@ -6,7 +6,10 @@ import re
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,9 +71,14 @@ def mapped(c: Column, name: str) -> Column:
     return run(c)
 
 
-def fixed(toks: Column, n: int) -> Column:
-    """Exactly n tokens: cut, or padded with empty strings."""
-    return F.slice(F.concat(F.coalesce(toks, F.array().cast("array<string>")), F.array_repeat(F.lit(""), n)), 1, n)
+def fixed(toks: Column, n: int | None) -> Column:
+    """Exactly n tokens: cut, or padded with empty strings. Without n, all of them and no padding."""
+    toks = F.coalesce(toks, F.array().cast("array<string>"))
+    return toks if n is None else F.slice(F.concat(toks, F.array_repeat(F.lit(""), n)), 1, n)
+
+
+def _index(values: pa.Array, words: pa.Array, start: int, unknown: int) -> pa.Array:
+    return pc.fill_null(pc.add(pc.index_in(values, value_set=words), pa.scalar(start, pa.int32())), unknown)
 
 
 def lookup(c: Column, words: list, start: int = 0, unknown: int = -1) -> Column:
@@ -82,6 +90,14 @@ def lookup(c: Column, words: list, start: int = 0, unknown: int = -1) -> Column:
             cond = F.isnan(c) if isinstance(w, float) and w != w else c == F.lit(w)
             out = F.when(cond, i + start) if out is None else out.when(cond, i + start)
         return F.lit(unknown) if out is None else out.otherwise(unknown)
+    if all(isinstance(w, str) for w in words):
+        every = pa.array(words, pa.string())
+
+        @F.arrow_udf("int")
+        def find(s: pa.Array) -> pa.Array:
+            return _index(s, every, start, unknown)
+
+        return find(c)
     index = {w: i + start for i, w in enumerate(words)}
 
     @F.pandas_udf("int")
@@ -95,10 +111,12 @@ def lookup_array(c: Column, words: list[str], start: int = 0, unknown: int = -1)
     """The same for arrays of strings."""
     if len(words) <= 64:
         return F.transform(c, lambda t: lookup(t, words, start, unknown))
-    index = {w: i + start for i, w in enumerate(words)}
+    every = pa.array(words, pa.string())
 
-    @F.pandas_udf("array<int>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else [index.get(t, unknown) for t in v])
+    @F.arrow_udf("array<int>")
+    def run(s: pa.Array) -> pa.Array:
+        off = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(s), 0).to_numpy(zero_copy_only=False)))
+        found = _index(s.flatten(), every, start, unknown)
+        return pa.ListArray.from_arrays(pa.array(off, pa.int32()), found, mask=s.is_null() if s.null_count else None)
 
     return run(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnback.functions.scalars import hashed_uniform, let
+from turnback.functions.scalars import hashed_long, hashed_uniform, let
 
 from .arrays import numbered
 from .base import Elementwise, Op
@@ -122,10 +122,10 @@ def segment_pairs(df: DataFrame, key: str, tokens: str, ends: str, num_tries: in
     x = x.withColumn("__tail", F.slice(F.col(tokens), F.col("__last") + 2, F.size(tokens))).withColumn("__width", width)
     # rows in buckets by hash of key: a try picks a bucket, and the bucket's first row by hash answers
     buckets = F.greatest(F.lit(1), x.agg(F.count("*")).scalar())
-    rows = x.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), buckets))
-    pool = rows.groupBy("__bucket").agg(F.min_by("__b", F.xxhash64(F.col(key), F.lit(seed + 1))).alias("__chunk"))
+    rows = x.withColumn("__bucket", F.pmod(hashed_long(F.col(key), F.lit(seed)), buckets))
+    pool = rows.groupBy("__bucket").agg(F.min_by("__b", hashed_long(F.col(key), F.lit(seed + 1))).alias("__chunk"))
     tries = x.withColumn("__go", u(F.lit("go")) < prob).filter("__go").select(key, F.size("__a").alias("__na"), "__width", F.explode(F.sequence(F.lit(1), F.lit(num_tries))).alias("__t"))
-    tries = tries.withColumn("__bucket", F.pmod(F.xxhash64(F.col(key), F.col("__t"), F.lit(seed + 2)), buckets))
+    tries = tries.withColumn("__bucket", F.pmod(hashed_long(F.col(key), F.col("__t"), F.lit(seed + 2)), buckets))
     best = tries.join(pool, "__bucket").filter(F.size("__chunk") + 1 < F.col("__width") - F.col("__na") - 2)
     best = best.groupBy(key).agg(F.max_by("__chunk", F.struct(F.size("__chunk"), -F.col("__t"))).alias("__chunk"))
     x = x.join(best, key, "left")
