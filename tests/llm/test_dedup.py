@@ -44,7 +44,8 @@ def test_near_duplicates(odd, odd_rows):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
-def test_links_of_dense_and_random_fingerprints(spark):
+@pytest.mark.parametrize("how", [{}, {"split": 2, "block": 5}, {"split": 20, "block": 1000}])
+def test_links_of_dense_and_random_fingerprints(spark, how):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 2**64, 300, dtype=np.uint64)
     base = np.uint64(0xDEADBEEFCAFEF00D)
@@ -54,11 +55,17 @@ def test_links_of_dense_and_random_fingerprints(spark):
     nodes = spark.createDataFrame([(int(v), int(n)) for v, n in zip(x.view(np.int64), rng.integers(1, 4, len(x)))], "fp long, n long")
     n = {r.fp: r.n for r in nodes.collect()}
     near = defaultdict(int)
-    for r in simhash.links(nodes).collect():
+    other = []
+    for r in simhash.links(nodes, **how).collect():
         near[r.fp] += r.near
+        other += [(r.fp, r.other)] if r.other is not None else []
     m = (np.bitwise_count(x[:, None] ^ x[None, :]) <= 6) & ~np.eye(len(x), dtype=bool)
     ns = np.array([n[int(v)] for v in x.view(np.int64)])
     assert [near[int(v)] for v in x.view(np.int64)] == (m @ ns).tolist()
+    a, b = np.nonzero(np.triu(m))
+    want = components.union_find(x.view(np.int64)[a], x.view(np.int64)[b])
+    got = components.union_find(*np.array(other).T)
+    assert all((g == w).all() for g, w in zip(got, want))
 
 
 def test_survivors(odd, odd_rows):
