@@ -125,9 +125,9 @@ def brute_cut(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("length,lot", [(50, 24 << 20), (50, 2000), (7, 5000), (1, 3000)])
-def test_substrings(odd, odd_rows, length, lot, monkeypatch):
-    monkeypatch.setattr(substring_dedup.duplicate_spans, "__defaults__", (50, "doc_id", "text", lot))
+@pytest.mark.parametrize("length,lot,hot", [(50, 24 << 20, 1 << 16), (50, 2000, 1), (7, 5000, 3), (1, 3000, 0)])
+def test_substrings(odd, odd_rows, length, lot, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup.duplicate_spans, "__defaults__", (50, "doc_id", "text", lot, hot))
     got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup(odd.repartition(3), length, digest=True).collect()]
     assert sorted(got, key=key) == sorted(brute_cut([(d, t) for d, t, _ in odd_rows], length), key=key)
 

@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing against every document's reference blocks.
+"""Substring dedup by factors of every document against every other's reference blocks.
 
 A window of ``length`` words that an earlier document (smaller doc_id) has too is a duplicate. Every window chooses an
 anchor, the least hash among the short blocks inside it; equal windows choose the same anchor at the same offset.
@@ -9,8 +9,16 @@ signature of the whole factor), so that
 2. only where an anchor is shared but signatures differ, at the boundaries of longer matches, the windows themselves
    are compared, for one representative document of each signature (equal factors share its result).
 
+So this is a relative parse into indexed factors with checks at their boundaries, but not the greedy one of relative
+Lempel-Ziv: factors end where the anchor changes rather than where the longest match does. A greedy parse needs all
+reference texts in one place and is blind to a window that begins inside a factor found in one document and ends inside
+another's; content-chosen factors need no reference text, and the check of windows makes the result exact. Factors are
+matched by 128 bits of their words (anchor and signature), windows by two independent hashes of 64.
+
 Each task settles copies among its own rows first and sends one entry of a signature, so a passage in a third of all
-documents is as many entries as there are tasks. The covered stretches then meet their documents for the cut.
+documents is as many entries as there are tasks. Anchors at the edges of such a passage have a signature for every
+document: entries of such an anchor are spread by signature and always compared. The covered stretches then meet
+their documents for the cut.
 """
 
 from __future__ import annotations
@@ -27,6 +35,7 @@ from pyspark.sql import functions as F
 from . import buf, work
 
 LENGTH = 50
+_CHECK = np.uint64(0xD1B54A32D192ED03)
 
 
 def block_size(length: int) -> tuple[int, int]:
@@ -99,7 +108,9 @@ def _settle(keys: list[np.ndarray], ids: np.ndarray) -> np.ndarray:
 
 
 _FACTORS = "doc_id long, tid long, start int, n int, anchor long, sig long, settled boolean"
-_WINDOWS = "doc_id long, tid long, start int, n int, whash long, settled boolean"
+_WINDOWS = "doc_id long, tid long, start int, n int, whash long, wcheck long, settled boolean"
+#: entries of an anchor beyond which they aren't brought together
+HOT = 1 << 16
 
 
 def _table(ids, tids, row, start, n, extra: dict[str, np.ndarray], settled) -> pa.RecordBatch:
@@ -151,7 +162,7 @@ def _window_rows(length: int, most: int):
             got = []
             for b in lot:
                 _, _, _, woff, h = buf.words(b.column("text"))
-                w = buf.rolling(h, length)
+                w, v = buf.rolling(h, length), buf.rolling(buf.mix(h ^ _CHECK), length)
                 want = b.column("want")
                 rows = buf.row_of(want.offsets.to_numpy().astype(np.int64) - want.offsets[0].as_py())
                 flat = want.flatten()
@@ -159,22 +170,22 @@ def _window_rows(length: int, most: int):
                 rep = np.repeat(np.arange(len(s)), n)
                 pos = s[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
                 row = rows[rep]
-                got.append((w[woff[row] + pos], b.column("doc_id").to_numpy()[row], b.column("tid").to_numpy()[row], pos))
-            whash, ids, tids, pos = (np.concatenate([g[k] for g in got]) for k in range(4))
+                got.append((w[woff[row] + pos], v[woff[row] + pos], b.column("doc_id").to_numpy()[row], b.column("tid").to_numpy()[row], pos))
+            whash, wcheck, ids, tids, pos = (np.concatenate([g[k] for g in got]) for k in range(5))
             if not len(ids):
                 continue
-            later = _settle([whash], ids)
+            later = _settle([whash, wcheck], ids)
             row = np.flatnonzero(later)
             u, inv = np.unique(np.stack([ids[row], tids[row]], axis=1), axis=0, return_inverse=True)
             d, a, z = _merge(inv.reshape(-1).astype(np.int64), pos[row], pos[row] + length)
-            yield _table(u[:, 0], u[:, 1], d, a, z - a, {"whash": np.zeros(len(d), np.int64)}, np.ones(len(d), bool))
+            yield _table(u[:, 0], u[:, 1], d, a, z - a, {"whash": np.zeros(len(d), np.int64), "wcheck": np.zeros(len(d), np.int64)}, np.ones(len(d), bool))
             row = np.flatnonzero(~later)
-            yield _table(ids, tids, row, pos[row], np.full(len(row), length), {"whash": whash[row]}, np.zeros(len(row), bool))
+            yield _table(ids, tids, row, pos[row], np.full(len(row), length), {"whash": whash[row], "wcheck": wcheck[row]}, np.zeros(len(row), bool))
 
     return run
 
 
-def duplicate_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", lot_bytes: int = 24 << 20) -> tuple[DataFrame, DataFrame]:
+def duplicate_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", lot_bytes: int = 24 << 20, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): spans has doc_id, tid, spans (array of start and n, in words); texts is docs as doc_id, tid, text.
 
     tid is a hash of the text, so that rows which repeat an id with another text keep spans of their own.
@@ -183,17 +194,24 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     real = texts.filter("doc_id is not null and text is not null")
     facts = work.table(real.mapInArrow(_factor_rows(length, lot_bytes), _FACTORS), "factors")
     whole = Window.partitionBy("anchor", "sig")
-    shared = facts.filter("not settled").withColumns({
-        "least": F.min("doc_id").over(whole),
-        "lo": F.min("sig").over(Window.partitionBy("anchor")),
-        "hi": F.max("sig").over(Window.partitionBy("anchor")),
-    })
-    shared = shared.filter("least < doc_id or lo < hi").withColumn("known", F.col("least") < F.col("doc_id")).select("doc_id", "tid", "start", "n", "known")
+    open_facts = facts.filter("not settled")
+    many = work.table(open_facts.groupBy("anchor").agg(F.count("*").alias("c")).filter(F.col("c") > hot).select("anchor"), "hot")
+
+    def judged(x: DataFrame, differ: F.Column) -> DataFrame:
+        x = x.withColumn("least", F.min("doc_id").over(whole)).withColumn("differ", differ)
+        return x.filter("least < doc_id or differ").withColumn("known", F.col("least") < F.col("doc_id")).select("doc_id", "tid", "start", "n", "known")
+
+    by = Window.partitionBy("anchor")
+    differ = F.min("sig").over(by) < F.max("sig").over(by)
+    if many.isEmpty():
+        shared = judged(open_facts, differ)
+    else:
+        shared = judged(open_facts.join(many, "anchor", "left_anti"), differ).unionByName(judged(open_facts.join(many, "anchor", "left_semi"), F.lit(True)))
     shared = work.table(shared, "shared")
     want = shared.filter("not known").groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n")).alias("want"))
     asked = real.join(want, ["doc_id", "tid"]).select("doc_id", "tid", "text", "want")
     windows = work.table(asked.mapInArrow(_window_rows(length, lot_bytes), _WINDOWS), "windows")
-    open_ = windows.filter("not settled").withColumn("least", F.min("doc_id").over(Window.partitionBy("whash"))).filter("least < doc_id")
+    open_ = windows.filter("not settled").withColumn("least", F.min("doc_id").over(Window.partitionBy("whash", "wcheck"))).filter("least < doc_id")
     every = facts.filter("settled").select("doc_id", "tid", "start", "n")
     every = every.unionByName(shared.filter("known").select("doc_id", "tid", "start", (F.col("n") + length - 1).alias("n")))
     every = every.unionByName(windows.filter("settled").select("doc_id", "tid", "start", "n")).unionByName(open_.select("doc_id", "tid", "start", "n"))
