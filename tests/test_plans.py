@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from turnback.functions import tokens
 from turnback.plans import Categorical, Dataset, Datetime, Encoder, Flow, Fourier, Multilingual, Numeric, Text
+from turnback.plans.encoders import register_fill
 from turnback.streaming.apply import OnlineFit, encode_stream
 
 NAN = float("nan")
@@ -221,3 +222,47 @@ def test_registered_tokenizer(spark):
     tokens.register("commas", lambda s: s.split(","))
     df = spark.createDataFrame([(0, "a,b")], "id int, s string")
     both_ways(df, Text("t", ["s"], 3, "commas", "join", max_vocab=5).fit(df))
+
+
+def test_registered_fills(spark):
+    x = spark.createDataFrame([(1, 1.0), (2, None), (3, 5.0), (4, 5.0), (5, float("nan"))], "id int, v double")
+    for fill, want in (("mode", 5.0), ("median", 5.0), (register_fill("low_and_high", lambda c: (F.min(c) + F.max(c)) / 2), 3.0)):
+        m = Numeric("n", ["v"], fill=fill).fit(x)
+        assert [r[0] for r in m.forward(x).orderBy("id").select("`n/nums/v`").collect()] == [1.0, want, 5.0, 5.0, want]
+        back = [r.v for r in m.inverse(m.forward(x)).orderBy("id").collect()]
+        assert back[:4] == [1.0, None, 5.0, 5.0] and back[4] != back[4]
+    with pytest.raises(ValueError):
+        Numeric("n", ["v"], fill="unheard of").fit(x)
+
+
+def test_batches_fit_as_the_whole(spark):
+    x = spark.range(100).selectExpr("id", "cast(id * id as double) as v", "concat('w', id % 7) as s")
+    parts = [x.filter(f"id % 3 = {k}") for k in range(3)]
+    for m in (Numeric("n", ["v"], norm="mean_std"), Numeric("n", ["v"], norm="min_max", fill="median"), Text("t", ["s"], max_len=2, max_vocab=5)):
+        a, b = m.fit(x), m.fit_batches(iter(parts))
+        rows = lambda e: sorted(map(str, e.forward(x).collect()))
+        if isinstance(m, Text):
+            assert rows(a) == rows(b)
+        else:
+            assert abs(a.state["shift"][0] - b.state["shift"][0]) < 1e-6 and abs(a.state["scale"][0] / b.state["scale"][0] - 1) < 1e-9
+        assert sum(y.count() for y in b.forward_batches(iter(parts))) == 100
+
+
+def test_plugs_on_both_ends(spark):
+    f = Flow()
+    x, y = f.input("x"), f.input("y")
+    f.name(x * y, "z")
+    df = spark.createDataFrame([(1, 2.0), (2, 0.0)], "id int, x double")
+    f.plug("y", 3.0)
+    done = f.forward(df)
+    assert [r.z for r in done.orderBy("id").collect()] == [6.0, 0.0]
+    f.unplug("y")
+    with pytest.raises(ValueError):
+        f.forward(df)
+    with pytest.raises(ValueError):
+        f.unplug("y")
+    whole = f.forward(df, plugs={"y": 3.0})
+    lost = next(n for n in f.outputs.values() if n != "z")
+    assert {"x", "y"} <= set(f.inverse(whole).columns)
+    f.plug(lost, lambda have: have["z"] * 0)
+    assert f.inverse(whole.drop(lost)).count() == 2

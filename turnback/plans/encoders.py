@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce as fold
 from pathlib import Path
 from typing import Any, ClassVar
 
@@ -76,6 +78,17 @@ class Encoder:
         row = df.agg(*exprs).first() if exprs else None
         return self.fitted(self.fit_state(row, df))
 
+    def fit_batches(self, batches: Iterable[DataFrame]) -> Encoder:
+        """Fit on an iterator of DataFrames: one aggregation each where fits can be merged, else one over all of them."""
+        frames = iter(batches)
+        if hasattr(self, "merge") and getattr(self, "fill", None) not in FILLS:
+            return fold(lambda a, b: a.merge(b), (self.fit(df) for df in frames))
+        return self.fit(fold(DataFrame.unionByName, frames))
+
+    def forward_batches(self, batches: Iterable[DataFrame]) -> Iterator[DataFrame]:
+        """``forward`` of each DataFrame of an iterator, when it is asked for."""
+        return map(self.forward, batches)
+
     def fitted(self, state: dict) -> Encoder:
         new = type(self)(**{k: v for k, v in self.params().items()})
         new.state = state
@@ -145,6 +158,19 @@ class Encoder:
         return Encoder.from_dict(json.loads(Path(path).read_text()))
 
 
+#: fills by name: an aggregate of the values that are there
+FILLS: dict[str, Callable[[Column], Column]] = {
+    "median": lambda c: F.percentile_approx(c, 0.5, 10_000),
+    "mode": lambda c: F.mode(c, True),
+}
+
+
+def register_fill(name: str, fn: Callable[[Column], Column]) -> str:
+    """Make an aggregate of a column's values available as the ``fill`` of an encoder; it is part of the fit's one aggregation."""
+    FILLS[name] = fn
+    return name
+
+
 class _Scaled(Encoder):
     """Numbers shifted and scaled by column (axis 0), by row (axis 1), or all together (axis None)."""
 
@@ -166,18 +192,26 @@ class _Scaled(Encoder):
         super().check()
         if self.axis not in (0, 1, None):
             raise ValueError(f"axis {self.axis!r}: 0, 1 or None")
-        if isinstance(self.fill, str) and self.fill not in ("min", "max", "mean"):
-            raise ValueError(f"fill {self.fill!r}: a number, min, max or mean")
+        if isinstance(self.fill, str) and self.fill not in ("min", "max", "mean", *FILLS):
+            raise ValueError(f"fill {self.fill!r}: a number, min, max, mean or a registered one ({sorted(FILLS)})")
 
     def fit_exprs(self, df):
-        return [e for i, c in enumerate(self.cols) for e in Stats.exprs(*self.number(c), f"{self.name}__{i}")]
+        out = []
+        for i, c in enumerate(self.cols):
+            v, gone = self.number(c)
+            out += Stats.exprs(v, gone, f"{self.name}__{i}")
+            if self.fill in FILLS:
+                out.append(FILLS[self.fill](F.when(~gone, v.cast("double"))).cast("double").alias(f"{self.name}__{i}_fill"))
+        return out
 
     def fit_state(self, row, df):
         each = [Stats.of(row, f"{self.name}__{i}") for i in range(len(self.cols))]
+        if self.fill in FILLS:
+            return self.state_of(each, [row[f"{self.name}__{i}_fill"] or 0.0 for i in range(len(self.cols))])
         return self.state_of(each)
 
-    def state_of(self, each: list[Stats]) -> dict:
-        fills = [self.filling(s) for s in each]
+    def state_of(self, each: list[Stats], fills: list[float] | None = None) -> dict:
+        fills = fills or [self.filling(s) for s in each]
         full = [s.filled(f) for s, f in zip(each, fills)]
         if self.axis is None:
             full = [sum(full, Stats())] * len(full)
@@ -185,7 +219,9 @@ class _Scaled(Encoder):
         return {"fill": fills, "shift": [p[0] for p in pairs], "scale": [p[1] for p in pairs], "stats": [list(s.__dict__.values()) for s in each]}
 
     def merge(self, other: _Scaled) -> _Scaled:
-        """The model of both fits' data together."""
+        """The model of both fits' data together. A registered fill can't be had from two fits."""
+        if self.fill in FILLS:
+            raise ValueError(f"fill {self.fill!r} needs all rows at once")
         each = [Stats(*a) + Stats(*b) for a, b in zip(self.need()["stats"], other.need()["stats"])]
         return self.fitted(self.state_of(each))
 

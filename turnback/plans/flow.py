@@ -52,6 +52,7 @@ class Flow:
         self.inputs: list[str] = []
         self.nodes: dict[str, tuple[Op, dict[str, str]]] = {}
         self.names: dict[str, str] = {}
+        self.plugs: dict[str, Any] = {}
         self._counts: dict[str, int] = {}
         self._specs: list[dict] = []
 
@@ -95,6 +96,19 @@ class Flow:
         self.names[port.ref] = name
         return port
 
+    def plug(self, name: str, value: Any) -> None:
+        """A value for an input (by name) or an output (by column name) that a DataFrame lacks: a constant, or a function of
+        a dict of columns. A column of that name goes first."""
+        if name not in self.inputs and name not in self.outputs.values():
+            raise ValueError(f"{name!r} is no input and no output")
+        self.plugs[name] = value
+
+    def unplug(self, name: str) -> None:
+        """Take back a :meth:`plug`."""
+        if name not in self.plugs:
+            raise ValueError(f"nothing is plugged into {name!r}")
+        del self.plugs[name]
+
     # structure
 
     def _consumers(self) -> dict[str, list[tuple[str, str]]]:
@@ -117,7 +131,7 @@ class Flow:
     def forward(self, df: DataFrame, keep: list[str] | None = None, plugs: dict[str, Any] | None = None) -> DataFrame:
         """``df`` with the flow's input columns replaced by its outputs. ``plugs`` are constants, or functions of a dict of
         columns, for inputs that aren't columns of ``df``."""
-        plugs = plugs or {}
+        plugs = {k: v for k, v in self.plugs.items() if k in self.inputs and k not in df.columns} | (plugs or {})
         lacking = [i for i in self.inputs if i not in df.columns and i not in plugs]
         if lacking:
             raise ValueError(f"inputs without a column: {lacking}")
@@ -134,9 +148,15 @@ class Flow:
             have |= {f"{node}/{o}": F.col(f"__{k}_{o}") for o in op.outs}
         return df.select(*[F.col(f"`{c}`") for c in rest], *[have[r].alias(n) for r, n in self.outputs.items()])
 
-    def inverse(self, df: DataFrame) -> DataFrame:
-        """The inputs from a DataFrame with the flow's outputs; other columns stay."""
+    def inverse(self, df: DataFrame, plugs: dict[str, Any] | None = None) -> DataFrame:
+        """The inputs from a DataFrame with the flow's outputs; other columns stay. ``plugs`` are constants, or functions of
+        a dict of columns by name, for outputs that aren't columns of ``df``."""
         outs = self.outputs
+        plugs = {k: v for k, v in self.plugs.items() if k in outs.values() and k not in df.columns} | (plugs or {})
+        if clash := [n for n in plugs if n in df.columns or n not in outs.values()]:
+            raise ValueError(f"plugged outputs are columns too, or unknown: {clash}")
+        there = {n: F.col(f"`{n}`") for n in outs.values() if n in df.columns}
+        df = df.withColumns({n: v(dict(there)) if callable(v) else F.lit(v) for n, v in plugs.items()}) if plugs else df
         lacking = [n for n in outs.values() if n not in df.columns]
         if lacking:
             raise ValueError(f"outputs without a column: {lacking}")
