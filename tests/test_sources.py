@@ -1,3 +1,5 @@
+import io
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,10 +10,13 @@ from turnback.sources.training import rows, train_input
 
 def test_checksum_and_framing():
     assert records.crc32c(b"123456789") == 0xE3069283
-    data = records.frame(b"abc") + records.frame(b"")
-    assert list(records.unframe(data)) == [b"abc", b""]
-    with pytest.raises(ValueError):
-        list(records.unframe(data[:12] + b"x" + data[13:]))
+    many = [b"abc", b"", *(bytes(range(k % 256)) * (k % 3) for k in range(1200))]
+    assert records.checksums(many).tolist() == [records.crc32c(m) for m in many]
+    data = records.frames(many)
+    assert list(records.unframe(io.BytesIO(data))) == many and list(records.unframe(io.BytesIO(b""))) == []
+    for bad in (data[:12] + b"x" + data[13:], b"\x04" + data[1:], data[:-1], data[:30]):
+        with pytest.raises(ValueError):
+            list(records.unframe(io.BytesIO(bad)))
 
 
 def test_records(spark, tmp_path):

@@ -709,7 +709,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def records_roundtrip(spark, d):
     """Orders written as record files and read again (floats are all the format has)."""
     spark.dataSource.register(RecordSource)
-    path = scratch(spark, "records").removeprefix("file://")
+    path = scratch(spark, "records")
     x = read(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_totalprice").withColumn("l", F.array(F.col("o_orderkey") % 7, F.col("o_orderkey") % 5))
     x.write.format("examples").mode("append").save(path)
     y = spark.read.format("examples").schema("o_orderkey bigint, o_orderpriority string, o_totalprice float, l array<bigint>").load(path)

@@ -1,4 +1,4 @@
-"""Record files of ``tf.train.Example`` messages, written and read in plain Python.
+"""Record files of ``tf.train.Example`` messages, written and read in Python on any file system that Arrow knows.
 
 ``spark.dataSource.register(RecordSource)``; then ``df.write.format("examples").save(dir)`` writes a file for each
 partition and ``spark.read.format("examples").schema(...).load(dir)`` reads one partition for each file, decoding only
@@ -9,54 +9,95 @@ strings UTF-8 byte lists; arrays are the list itself; nulls are absent.
 
 from __future__ import annotations
 
-import glob
 import json
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, BinaryIO
 
+import numpy as np
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, ByteType, DataType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructType
 
-_TABLE: list[int] = []
+def _table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0x82F63B78), t >> 1)
+    return t.astype(np.uint32)
+
+
+_TABLE = _table()
+#: records that are framed or checked together
+LOT = 512
+
+
+def checksums(messages: list[bytes]) -> np.ndarray:
+    """The Castagnoli checksums of all messages, a byte of each at a time."""
+    n = np.array([len(m) for m in messages], np.int64)
+    order = np.argsort(-n, kind="stable")
+    start = (np.cumsum(n) - n)[order]
+    data = np.frombuffer(b"".join(messages), np.uint8)
+    c = np.full(len(n), 0xFFFFFFFF, np.uint32)
+    live = np.searchsorted(-n[order], -np.arange(int(n.max(initial=0))), "left")  # messages with more than j bytes
+    for j, k in enumerate(live.tolist()):
+        c[:k] = c[:k] >> np.uint32(8) ^ _TABLE[(c[:k] ^ data[start[:k] + j]) & np.uint32(255)]
+    out = np.empty_like(c)
+    out[order] = c ^ np.uint32(0xFFFFFFFF)
+    return out
 
 
 def crc32c(data: bytes) -> int:
     """The Castagnoli checksum."""
-    if not _TABLE:
-        for i in range(256):
-            for _ in range(8):
-                i = i >> 1 ^ (0x82F63B78 if i & 1 else 0)
-            _TABLE.append(i)
-    c, t = 0xFFFFFFFF, _TABLE
-    for b in data:
-        c = c >> 8 ^ t[(c ^ b) & 255]
-    return c ^ 0xFFFFFFFF
+    return int(checksums([data])[0])
 
 
-def masked(data: bytes) -> int:
-    c = crc32c(data)
-    return ((c >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
+def masked(messages: list[bytes]) -> list[int]:
+    c = checksums(messages).astype(np.uint64)
+    return (((c >> np.uint64(15) | c << np.uint64(17)) + np.uint64(0xA282EAD8)) & np.uint64(0xFFFFFFFF)).tolist()
 
 
-def frame(message: bytes) -> bytes:
-    n = struct.pack("<Q", len(message))
-    return n + struct.pack("<I", masked(n)) + message + struct.pack("<I", masked(message))
+def frames(messages: list[bytes]) -> bytes:
+    """Messages as records."""
+    heads = [struct.pack("<Q", len(m)) for m in messages]
+    return b"".join([x for h, a, m, z in zip(heads, masked(heads), messages, masked(messages)) for x in (h, struct.pack("<I", a), m, struct.pack("<I", z))])
 
 
-def unframe(data: bytes, verify: bool = True) -> Iterator[bytes]:
-    at = 0
-    while at < len(data):
-        head = data[at : at + 8]
-        (n,) = struct.unpack("<Q", head)
-        body = data[at + 12 : at + 12 + n]
-        if verify and (struct.unpack_from("<I", data, at + 8)[0] != masked(head) or struct.unpack_from("<I", data, at + 12 + n)[0] != masked(body)):
+def unframe(stream: BinaryIO, verify: bool = True) -> Iterator[bytes]:
+    """The messages of a stream of records; no more than ``LOT`` of them are in memory."""
+    at, lot = 0, []
+
+    def checked() -> Iterator[bytes]:
+        if verify and lot:
+            heads, bodies = masked([x[1] for x in lot]), masked([x[2] for x in lot])
+            for (where, _, _, a, z), h, b in zip(lot, heads, bodies):
+                if (a, z) != (h, b):
+                    raise ValueError(f"a damaged record at byte {where}")
+        yield from (x[2] for x in lot)
+
+    while head := stream.read(12):
+        if len(head) < 12:
+            raise ValueError(f"a damaged record at byte {at}")
+        n, a = struct.unpack("<QI", head)
+        if verify and a != masked([head[:8]])[0]:  # before so many bytes are asked for
             raise ValueError(f"a damaged record at byte {at}")
-        yield body
+        body = stream.read(n + 4)
+        if len(body) < n + 4:
+            raise ValueError(f"a damaged record at byte {at}")
+        lot.append((at, head[:8], body[:n], a, struct.unpack_from("<I", body, n)[0]))
         at += 16 + n
+        if len(lot) == LOT:
+            yield from checked()
+            lot = []
+    yield from checked()
+
+
+def filesystem(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI (local, HDFS, object stores) and the path there."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path
 
 
 def _varint(n: int) -> bytes:
@@ -183,37 +224,53 @@ class _Writer(DataSourceWriter):
         self.run = uuid.uuid4().hex[:8]
 
     def write(self, rows):
-        os.makedirs(self.path, exist_ok=True)
         from pyspark import TaskContext
 
+        where, root = filesystem(self.path)
+        where.create_dir(root, recursive=True)
         name = f"part-{TaskContext.get().partitionId():05d}-{self.run}.tfrecord"
-        tmp, n = os.path.join(self.path, f"_{name}.{uuid.uuid4().hex[:6]}"), 0
-        with open(tmp, "wb") as out:
+        tmp, n, lot = f"{root}/_{name}.{uuid.uuid4().hex[:6]}", 0, []
+        with where.open_output_stream(tmp) as out:
             for row in rows:
                 try:
-                    data = frame(encode_example(row.asDict(), self.schema))
+                    lot.append(encode_example(row.asDict(), self.schema))
                 except (ValueError, OverflowError, struct.error):
                     if not self.skip:
                         raise
                     continue
-                out.write(data)
                 n += 1
-        return _Done(tmp, os.path.join(self.path, name), n)
+                if len(lot) == LOT:
+                    out.write(frames(lot))
+                    lot = []
+            out.write(frames(lot))
+        return _Done(tmp, f"{root}/{name}", n)
 
     def commit(self, messages):
+        where, root = filesystem(self.path)
+        where.create_dir(root, recursive=True)
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "part-*.tfrecord")):
-                os.remove(old)
+            for old in _parts(where, root):
+                where.delete_file(old)
         for m in messages:
             if m is not None:
-                os.replace(m.tmp, m.final)
-        with open(os.path.join(self.path, "_schema.json"), "w") as f:
-            f.write(self.schema.json())
+                where.move(m.tmp, m.final)
+        with where.open_output_stream(f"{root}/_schema.json") as f:
+            f.write(self.schema.json().encode())
 
     def abort(self, messages):
+        where, _ = filesystem(self.path)
         for m in messages:
-            if m is not None and os.path.exists(m.tmp):
-                os.remove(m.tmp)
+            if m is not None and where.get_file_info(m.tmp).type == fs.FileType.File:
+                where.delete_file(m.tmp)
+
+
+def _parts(where: fs.FileSystem, root: str) -> list[str]:
+    """The record files of a folder, or the file itself."""
+    info = where.get_file_info(root)
+    if info.type == fs.FileType.File:
+        return [root]
+    found = where.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(x.path for x in found if x.type == fs.FileType.File and x.path.endswith(".tfrecord") and not x.base_name.startswith("_"))
 
 
 @dataclass
@@ -226,12 +283,12 @@ class _Reader(DataSourceReader):
         self.path, self.schema, self.verify = path, schema, verify
 
     def partitions(self):
-        pattern = os.path.join(self.path, "*.tfrecord") if os.path.isdir(self.path) else self.path
-        return [_File(p) for p in sorted(glob.glob(pattern))]
+        return [_File(p) for p in _parts(*filesystem(self.path))]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            for message in unframe(f.read(), self.verify):
+        where, _ = filesystem(self.path)
+        with where.open_input_stream(partition.path, buffer_size=1 << 20) as f:
+            for message in unframe(f, self.verify):
                 row = decode_example(message, self.schema)
                 yield tuple(row[c.name] for c in self.schema.fields)
 
@@ -244,8 +301,9 @@ class RecordSource(DataSource):
         return "examples"
 
     def schema(self):
-        with open(os.path.join(self.options["path"], "_schema.json")) as f:
-            return StructType.fromJson(json.load(f))
+        where, root = filesystem(self.options["path"])
+        with where.open_input_stream(f"{root}/_schema.json") as f:
+            return StructType.fromJson(json.loads(f.read()))
 
     def reader(self, schema):
         return _Reader(self.options["path"], schema, self.options.get("verify", "true") == "true")
