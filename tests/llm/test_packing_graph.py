@@ -57,6 +57,25 @@ def test_recall_of_nearest_neighbours(spark):
     assert len(high) > 50 and np.mean([like[i, got[i][0]] == like[i].max() for i in high]) >= 0.9
 
 
+@pytest.mark.parametrize("how", [{}, {"reach": 100}])
+def test_the_likest_of_long_lists_are_exact(spark, how):
+    """Lists far longer than a block, and copies: the very neighbours that brute force finds, ties included."""
+    docs = texts(1500)
+    docs += docs[7:8] * 120 + ["short", ""]
+    sk = packing.sketch(pa.array(docs))
+    s = packing.short(sk)
+    met = ((sk[:, None] == sk) & (sk[:, None] != packing._TOP)).any(axis=2)
+    like = ((s[:, None] == s) & (s[:, None] != packing._NONE)).sum(axis=2)
+    np.fill_diagonal(met, False)
+    assert met.sum(axis=1).max() > 700
+    got = graph(spark, docs, **how)
+    assert set(got) == set(np.flatnonzero(met.any(axis=1)).tolist())
+    for i, near in got.items():
+        other = np.flatnonzero(met[i])
+        o = np.lexsort([other, packing.pair_hash(np.full(len(other), i), other), -like[i, other]])
+        assert near.tolist() == other[o][: packing.MOST].tolist()
+
+
 @pytest.mark.parametrize("shards", [1, 20, 200])
 def test_nearest_neighbours_share_a_shard(spark, shards):
     docs = texts(3000)

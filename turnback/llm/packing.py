@@ -2,10 +2,9 @@
 
 1. Every text is sketched (min-hashes of its content-sampled 16-byte shingles) and tokenised once, into a table.
 2. Nearest-neighbour graph over the whole corpus. Documents are related if they agree in a place of the sketch. Each
-   place's min-hash is a list; a list is ordered by the places that follow and every document compared to the next
-   ``reach`` in it, so lists of up to ``reach`` + 1 are compared whole. Longer ones (a passage that many share) are
-   searched again by every two places with long lists that their documents may share. All lists are spread by ranges of that order:
-   no list is ever one task's. The ``most`` likest that were found are kept for each document.
+   place's min-hash is a list, and all documents of a list are compared with each other, in a list of any length: those
+   beyond ``reach`` (a passage that many share) are cut into blocks, and every two blocks are a task's work of their own.
+   The ``most`` likest neighbours of each document are kept, which is what the graph is (k nearest neighbours, exact).
 3. Every document is joined with its likest neighbour, then every such cluster with its likest other cluster. Documents
    in the order of clusters are cut into shards of about ``shard_bytes``, so a document and its nearest neighbour share
    a shard but where a cut falls between them.
@@ -30,7 +29,13 @@ WIDTH = 1024
 END_ID = 0
 PLACES = 16
 MOST = 8
-REACH = 32
+REACH = 2048
+#: lists of at most so many documents are compared many at a time
+SMALL = 64
+#: one document in so many is counted to find the long lists
+COUNTED = 16
+#: so many pairs are compared at a time
+CELLS = 1 << 17
 SHARD_BYTES = 24 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -64,14 +69,6 @@ def short(sk: np.ndarray) -> np.ndarray:
     return np.where(sk == _TOP, _NONE, np.where(h == _NONE, np.uint16(0), h))
 
 
-def tails(sk: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The four places after ``place`` as one number, and the four after those: the order within a list."""
-    at = (place[:, None] + 1 + np.arange(8)) % PLACES
-    x = np.take_along_axis(sk, at, axis=1).astype(np.uint64)
-    r = [(x[:, k] << np.uint64(48)) | (x[:, k + 1] << np.uint64(32)) | (x[:, k + 2] << np.uint64(16)) | x[:, k + 3] for k in (0, 4)]
-    return r[0].view(np.int64), r[1].view(np.int64)
-
-
 def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A number for each pair, the same from both sides: it breaks ties between equally like neighbours."""
     return buf.mix(np.minimum(a, b).view(np.uint64) * _A ^ buf.mix(np.maximum(a, b).view(np.uint64)))
@@ -89,31 +86,59 @@ def likest(a: np.ndarray, b: np.ndarray, like: np.ndarray, most: int) -> np.ndar
     return o[np.arange(len(x)) - np.searchsorted(x, x) < most]
 
 
-def related(key: np.ndarray, node: np.ndarray, sk: np.ndarray, reach: int, most: int, slice_rows: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, like) of lists with rows in their order, each node once a list: the ``most`` likest of those within ``reach``.
+def related(key: np.ndarray, node: np.ndarray, sk: np.ndarray, most: int, slice_rows: int = 1 << 13) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, like) of short lists with rows in their order, each node once a list: the ``most`` likest of each node.
 
     Rows are taken ``slice_rows`` at a time and each slice keeps its likest, which bounds the memory.
     """
     n, kept = len(key), []
     for z in range(0, n, slice_rows):
-        i, out = np.arange(z, min(n, z + slice_rows)), []
-        for step in range(1, reach + 1):
+        i, out, step = np.arange(z, min(n, z + slice_rows)), [], 1
+        while True:
             i = i[i + step < n]
             i = i[key[i] == key[i + step]]
             if not len(i):
                 break
             like = ((sk[i] == sk[i + step]) & (sk[i] != _NONE)).sum(axis=1)
-            k = node[i] != node[i + step]
-            out += [(node[i][k], node[i + step][k], like[k]), (node[i + step][k], node[i][k], like[k])]
+            out += [(node[i], node[i + step], like), (node[i + step], node[i], like)]
+            step += 1
         if out:
             a, b, like = (np.concatenate(x) for x in zip(*out))
             k = likest(a, b, like, most)
             kept.append((a[k], b[k], like[k]))
     if not kept:
         return tuple(np.zeros((3, 0), np.int64))
-    a, b, like = (np.concatenate(x) for x in zip(*kept))
-    k = likest(a, b, like, most)
-    return a[k], b[k], like[k]
+    return tuple(np.concatenate(x) for x in zip(*kept))
+
+
+def block(node: np.ndarray, sk: np.ndarray, other: np.ndarray, osk: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, like): the ``most`` likest of ``other`` for each of ``node`` by every pair, in the order of :func:`likest`."""
+    n, kept, none, onone = len(other), [], _absent(sk), _absent(osk)
+    osk, some = np.ascontiguousarray(osk.T), none.any() and onone.any()
+    least, last = other.view(np.uint64) * _A, buf.mix(other.view(np.uint64))
+    rows = max(1, CELLS // n)
+    for z in range(0, len(node), rows):
+        a, s = node[z : z + rows, None], sk[z : z + rows]
+        like = np.zeros((len(a), n), np.uint8)
+        for p in range(PLACES):
+            like += s[:, p, None] == osk[p]
+        if some:
+            like -= np.bitwise_count(none[z : z + rows, None] & onone)
+        first = a < other
+        u = a.view(np.uint64)
+        h = buf.mix(np.where(first, u * _A, least) ^ np.where(first, last, buf.mix(u)))
+        like[a == other] = 0
+        w = like.astype(np.uint64) << np.uint64(58) | ~h >> np.uint64(6)
+        i = np.argpartition(w, n - most, axis=1)[:, n - most :] if most < n else np.broadcast_to(np.arange(n), w.shape)
+        like = np.take_along_axis(like, i, axis=1)
+        k = like > 0
+        kept.append((np.broadcast_to(a, i.shape)[k], other[i[k]], like[k].astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*kept))
+
+
+def _absent(sk: np.ndarray) -> np.ndarray:
+    """The places of short sketches where nothing was sampled, a bit each."""
+    return ((sk == _NONE) << np.arange(PLACES)).sum(axis=1).astype(np.uint16)
 
 
 def walk(off: np.ndarray, near: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -177,70 +202,65 @@ def _joined(col: pa.ChunkedArray, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw.tobytes(), dtype), off // np.dtype(dtype).itemsize
 
 
-def _posted(key: np.ndarray, place: np.ndarray, node: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-    r1, r2 = tails(s, place)
-    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(place.astype(np.int32)), pa.array(r1), pa.array(r2), pa.array(node), _binary(s)], names=["key", "place", "r1", "r2", "node", "short"])
-
-
-_POSTED = "key long, place int, r1 long, r2 long, node long, short binary"
-
-
-def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(place, key, node, short sketch) of the documents that are in a list at each place."""
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, node, short sketch) of the documents that are in a list at each place."""
     for b in batches:
         sk = _joined(b.column("sketch"), np.uint64)[0].reshape(-1, PLACES)
         node, s = b.column("node").to_numpy(), short(sk)
         for p in range(PLACES):
             i = np.flatnonzero(sk[:, p] != _TOP)
             with np.errstate(over="ignore"):
-                yield p, buf.mix(sk[i, p] + np.uint64(p + 1) * _A).view(np.int64), node[i], s[i]
+                yield buf.mix(sk[i, p] + np.uint64(p + 1) * _A).view(np.int64), node[i], s[i]
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for p, key, node, _ in _listed(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(key), p, np.int32)), pa.array(node)], names=["key", "place", "node"])
+    for key, _, _ in _listed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
 
 
 def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A document's entries in the lists of its places."""
-    for p, key, node, s in _listed(batches):
-        yield _posted(key, np.full(len(key), p), node, s)
+    for key, node, s in _listed(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), _binary(s)], names=["key", "node", "short"])
 
 
-def _deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of documents in the lists of every two places whose own lists are both long (``mask``, a bit a place)."""
-    for b in batches:
-        node, mask = b.column("node").to_numpy(), b.column("mask").to_numpy()
-        s = short(_joined(b.column("sketch"), np.uint64)[0].reshape(-1, PLACES))
-        for p in range(PLACES):
-            for q in range(p + 1, PLACES):
-                i = np.flatnonzero((mask >> p & mask >> q & 1) == 1)
-                if len(i):
-                    with np.errstate(over="ignore"):
-                        two = s[i, p].astype(np.uint64) << np.uint64(16) | s[i, q]
-                        deep = buf.mix(two + np.uint64((p * PLACES + q + 1) * int(_B) % 2**64)).view(np.int64)
-                    yield _posted(deep, np.full(len(i), q), node[i], s[i])
-
-
-def _relate(reach: int, most: int):
+def _relate(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = _gather(batches)
         if t is None:
             return
-        key, r1, r2, node = (t.column(k).to_numpy() for k in ("key", "r1", "r2", "node"))
+        key, part, node = (t.column(k).to_numpy() for k in ("key", "part", "node"))
         sk = _joined(t.column("short"), np.uint16)[0].reshape(-1, PLACES)
         del t
-        o = np.lexsort([node, r2, r1, key])
+        o = np.lexsort([node, part, key])
         o = o[np.r_[True, (key[o][1:] != key[o][:-1]) | (node[o][1:] != node[o][:-1])]]  # rows that repeat are one node
         k = key[o]
         same = k[1:] == k[:-1]
         o = o[np.r_[False, same] | np.r_[same, False]]
-        a, b, like = related(key[o], node[o], sk[o], reach, most)
+        key, part, node, sk = key[o], part[o], node[o], sk[o]
+        at = np.append(np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)]), len(key))
+        few = np.diff(at) <= SMALL
+        i = np.flatnonzero(np.repeat(few, np.diff(at)))
+        got = [related(key[i], node[i], sk[i], most)]
+        for x, z in zip(at[:-1][~few].tolist(), at[1:][~few].tolist()):
+            m = x + int(np.searchsorted(part[x:z], part[x], "right"))  # two parts of a long list, or one list
+            got.append(block(node[x:m], sk[x:m], node[m:z] if m < z else node[x:m], sk[m:z] if m < z else sk[x:m], most))
+            if m < z:
+                got.append(block(node[m:z], sk[m:z], node[x:m], sk[x:m], most))
+            if sum(len(g[0]) for g in got[1:]) > 1 << 20:
+                got = [_likest(got, most)]
+        a, b, like = _likest(got, most)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(like.astype(np.int32))], names=["node", "other", "like"])
 
     return run
 
 
+def _likest(got: list[tuple], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    a, b, like = (np.concatenate(x) for x in zip(*got))
+    k = likest(a, b, like, most)
+    return a[k], b[k], like[k]
+
+
 def _lists(most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """One row a node: its likest neighbours and how like they are."""
@@ -262,19 +282,22 @@ def _lists(most: int):
 def neighbours(nodes: DataFrame, reach: int = REACH, most: int = MOST) -> DataFrame:
     """node, near, likes, best of every related document of (node long, sketch binary) over the whole table.
 
-    near: the ``most`` likest other nodes found (packed longs, likest first, ties by hash of the pair), likes: how many
-    places each shares (bytes). With ``reach`` and ``most`` at the number of documents nothing is passed over. Rows that
-    repeat a node are one; documents without a sampled shingle have no neighbour.
+    near: the ``most`` likest of all other nodes (packed longs, likest first, ties by hash of the pair), likes: how many
+    places each shares (bytes). Every two nodes of a list are compared. ``reach`` only says how the work is cut: lists of
+    more nodes are compared in blocks of about so many, spread over tasks, and the result is the same whatever it is.
+    Rows that repeat a node are one; documents without a sampled shingle have no neighbour.
     """
-    posted = nodes.select("node", "sketch").mapInArrow(_explode, _POSTED)
-    keys = nodes.select("node", "sketch").mapInArrow(_keys, "key long, place int, node long")
-    long = keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > reach + 1).select("key")
-    # two documents that share a second place with a short list have met there
-    mask = keys.join(long, "key", "left_semi").groupBy("node").agg(F.expr("cast(bit_or(shiftleft(1, place)) as long)").alias("mask"))
-    deep = nodes.select("node", "sketch").join(mask, "node").mapInArrow(_deeper, _POSTED)
-    half = max(2, most // 2) if most < 64 else most
-    met = [x.repartitionByRange("key", "r1", "r2", "node").mapInArrow(_relate(reach, half), "node long, other long, like int") for x in (posted, deep)]
-    return work.waves(met, "met").repartition("node").mapInArrow(_lists(most), "node long, near binary, likes binary, best long")
+    nodes = nodes.select("node", "sketch")
+    # a long list is found by its share of some nodes; a miss costs time, not pairs
+    some = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(COUNTED)) == 0).dropDuplicates(["node"]).mapInArrow(_keys, "key long")
+    long = some.groupBy("key").agg(F.ceil(F.count("*") * COUNTED / reach).cast("int").alias("parts")).filter("parts > 1")
+    x = nodes.mapInArrow(_explode, "key long, node long, short binary").join(F.broadcast(long), "key", "left")
+    x = x.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    # every part meets every other and itself
+    x = x.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x = x.withColumn("key", F.when(F.col("parts") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("part", "with"), F.greatest("part", "with"))))
+    met = x.select("key", "part", "node", "short").repartition("key").mapInArrow(_relate(most), "node long, other long, like int")
+    return met.repartition("node").mapInArrow(_lists(most), "node long, near binary, likes binary, best long")
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
