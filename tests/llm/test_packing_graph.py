@@ -62,18 +62,42 @@ def test_the_likest_of_long_lists_are_exact(spark, how):
     """Lists far longer than a block, and copies: the very neighbours that brute force finds, ties included."""
     docs = texts(1500)
     docs += docs[7:8] * 120 + ["short", ""]
-    sk = packing.sketch(pa.array(docs))
+    exact(np.arange(len(docs)), packing.sketch(pa.array(docs)), graph(spark, docs, **how))
+
+
+def exact(node, sk, got):
+    """Whether ``got`` has the likest of all others for each node."""
     s = packing.short(sk)
     met = ((sk[:, None] == sk) & (sk[:, None] != packing._TOP)).any(axis=2)
     like = ((s[:, None] == s) & (s[:, None] != packing._NONE)).sum(axis=2)
     np.fill_diagonal(met, False)
     assert met.sum(axis=1).max() > 700
-    got = graph(spark, docs, **how)
-    assert set(got) == set(np.flatnonzero(met.any(axis=1)).tolist())
-    for i, near in got.items():
-        other = np.flatnonzero(met[i])
-        o = np.lexsort([other, packing.pair_hash(np.full(len(other), i), other), -like[i, other]])
-        assert near.tolist() == other[o][: packing.MOST].tolist()
+    assert set(got) == set(node[met.any(axis=1)].tolist())
+    for i in np.flatnonzero(met.any(axis=1)):
+        k = np.flatnonzero(met[i])
+        o = np.lexsort([node[k], packing.pair_hash(np.full(len(k), node[i]), node[k]), -like[i, k]])
+        assert got[int(node[i])].tolist() == node[k[o]][: packing.MOST].tolist()
+
+
+def test_the_pipeline_packs_by_the_exact_graph(spark, monkeypatch):
+    """The last stage, on documents of which half share a passage: the graph it lays out, and all documents whole."""
+    import corpus_pipeline
+
+    seen, find = [], packing.neighbours
+
+    def spy(nodes, *a, **how):
+        out = find(nodes, *a, **how)
+        seen.append(([(r["node"], r["sketch"]) for r in nodes.select("node", "sketch").collect()], {r["node"]: np.frombuffer(r["near"], np.int64) for r in out.collect()}))
+        return out
+
+    monkeypatch.setattr(packing, "neighbours", spy)
+    docs = texts(1500)
+    table = spark.createDataFrame([(i, t, None if i % 7 else "s") for i, t in enumerate(docs)], "doc_id long, text string, source string")
+    x = corpus_pipeline.STAGES[-1][1](spark, table.repartition(5), None).toPandas()
+    ((nodes, got),) = seen
+    exact(np.array([n for n, _ in nodes]), np.frombuffer(b"".join(bytes(s) for _, s in nodes), np.uint64).reshape(-1, packing.PLACES), got)
+    whole = x.groupby("doc_id").agg(n=("length", "sum"), tokens=("doc_tokens", "max"))
+    assert len(whole) == len(docs) and (whole.n == whole.tokens).all()
 
 
 @pytest.mark.parametrize("shards", [1, 20, 200])
