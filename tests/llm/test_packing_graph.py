@@ -100,6 +100,21 @@ def test_the_pipeline_packs_by_the_exact_graph(spark, monkeypatch):
     assert len(whole) == len(docs) and (whole.n == whole.tokens).all()
 
 
+def test_the_graph_reads_the_sketches_twice(spark, tmp_path):
+    """Once to count some of them, once to compare all: no sampling of ranges, no second search of long lists."""
+    docs, seen = texts(400), str(tmp_path / "seen")
+    nodes = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(packing.sketch(pa.array(docs)))], "node long, sketch binary")
+
+    def count(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    assert packing.neighbours(nodes.mapInArrow(count, nodes.schema)).count() > 300
+    assert len(open(seen).read()) <= 2 * len(docs)
+
+
 @pytest.mark.parametrize("shards", [1, 20, 200])
 def test_nearest_neighbours_share_a_shard(spark, shards):
     docs = texts(3000)

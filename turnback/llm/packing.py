@@ -15,6 +15,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -342,14 +343,14 @@ def pack(docs: DataFrame, width: int = WIDTH, tokenizer: str | None = None, end_
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc = Encoder(tokenizer)
+        enc, end = Encoder(tokenizer), array(kind.char, [end_id])
         row = TaskContext.get().partitionId() << 40
         for b in buf.pieces(batches):
             ids, col = b.column("doc_id"), b.column("text")
             text, off = buf.flat(col)
             with np.errstate(over="ignore"):
                 node = buf.mix(buf.span_hash(text, off[:-1], off[1:]) + ids.fill_null(0).to_numpy().astype(np.uint64) * _A + ids.is_null().to_numpy(zero_copy_only=False) * _B).view(np.int64)
-            toks = [np.array([*enc.ids(t), end_id], kind).tobytes() for t in col.to_pylist()]
+            toks = [(array(kind.char, enc.ids(t)) + end).tobytes() for t in col.to_pylist()]
             n = np.array([len(t) // kind.itemsize for t in toks], np.int64)
             rows = np.arange(row, row + len(b))
             row += len(b)
