@@ -13,6 +13,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .lots import by_lot
+
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _WORDS = re.compile(r"\w+|[^\w\s]")
 REGISTRY: dict[str, Callable] = {}
 
@@ -23,7 +27,8 @@ def register(name: str, fn: Callable) -> str:
     return name
 
 
-register("whitespace", lambda s: s.split())
+# as Java's (?U)\s, which leaves out four control characters that Python splits at
+register("whitespace", lambda s: [t for t in _SPACE.split(s) if t] if _SEPARATORS.search(s) else s.split())
 register("words", lambda s: _WORDS.findall(s))
 register("characters", list)
 register("join", lambda toks: " ".join(t for t in toks if t))
@@ -33,17 +38,24 @@ register("plural", lambda w: w[:-1] if len(w) > 3 and w.endswith("s") and not w.
 register("nfkc", lambda s: unicodedata.normalize("NFKC", s))
 
 
+def _each(kind: str, fn: Callable) -> Callable[[Column], Column]:
+    """A Python callable on each value that isn't null."""
+    to = pa.list_(pa.string()) if kind == "array<string>" else pa.string()
+
+    @F.arrow_udf(kind)
+    def run(s: pa.Array) -> pa.Array:
+        return by_lot(lambda x: pa.array([None if v is None else fn(v) for v in x.to_pylist()], to), s)
+
+    return run
+
+
 def tokens(c: Column, name: str) -> Column:
-    """The tokens of a string (null: null). Whitespace splitting stays in the JVM."""
+    """The tokens of a string (null: null). Whitespace and characters are split in the JVM."""
     if name == "whitespace":
         return F.when(c.isNotNull(), F.filter(F.split(c, r"(?U)\s+"), lambda t: t != ""))
-    fn = REGISTRY[name]
-
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fn, na_action="ignore")
-
-    return run(c)
+    if name == "characters":
+        return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
+    return _each("array<string>", REGISTRY[name])(c)
 
 
 def text(c: Column, name: str) -> Column:
@@ -51,24 +63,12 @@ def text(c: Column, name: str) -> Column:
     if name in ("join", "join_all", "concat"):
         c = F.filter(c, lambda t: t != "") if name == "join" else c
         return F.array_join(c, "" if name == "concat" else " ")
-    fn = REGISTRY[name]
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else fn(list(v)))
-
-    return run(c)
+    return _each("string", REGISTRY[name])(c)
 
 
 def mapped(c: Column, name: str) -> Column:
     """A string-to-string callable."""
-    fn = REGISTRY[name]
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fn, na_action="ignore")
-
-    return run(c)
+    return _each("string", REGISTRY[name])(c)
 
 
 def fixed(toks: Column, n: int | None) -> Column:

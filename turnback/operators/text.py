@@ -87,22 +87,23 @@ class MultiTokenize(Op):
     ins = ("strings", "selector")
     outs = ("target", "diff", "selector")
 
-    def _by(self, sel, make):
+    def _by(self, sel, c, named, make):
+        """``make`` of each function's name, on the rows of the selectors that have it: a function in Python sees no others."""
         out = F.raise_error(F.concat(F.lit("no tokenizer for "), F.coalesce(sel, F.lit("null"))))
-        for key in self.params["tokenizers"]:
-            out = F.when(sel == F.lit(key), make(key)).otherwise(out)
+        for name in dict.fromkeys(named[k] for k in self.params["tokenizers"]):
+            mine = sel.isin([k for k in self.params["tokenizers"] if named[k] == name])
+            out = F.when(mine, make(F.when(mine, c), name)).otherwise(out)
         return out
 
     def forward(self, cols):
         x = self.args(cols)
         c, sel = x["strings"], x["selector"]
-        toks = self._by(sel, lambda k: T.fixed(T.tokens(c, self.params["tokenizers"][k]), self.params["max_len"]))
-        back = self._by(sel, lambda k: T.text(toks, self.params["detokenizers"][k]))
-        return {"target": toks, "diff": script_col(back, c), "selector": sel}
+        toks = self._by(sel, c, self.params["tokenizers"], lambda s, k: T.fixed(T.tokens(s, k), self.params["max_len"]))
+        return {"target": toks, "diff": script_col(self._by(sel, toks, self.params["detokenizers"], T.text), c), "selector": sel}
 
     def inverse(self, cols):
         sel = cols["selector"]
-        back = self._by(sel, lambda k: T.text(cols["target"], self.params["detokenizers"][k]))
+        back = self._by(sel, cols["target"], self.params["detokenizers"], T.text)
         return {"strings": patch_col(back, cols["diff"]), "selector": sel}
 
 
