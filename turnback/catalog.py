@@ -339,7 +339,7 @@ def tokenize_pad(spark, d):
 
 @query("""SELECT doc_id, unnest(range(len(l)))::INTEGER AS pos, unnest(l) AS token FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS l FROM documents)""")
 def flat_tokenize(spark, d):
-    return text.flat_tokenize(read(spark, d, "documents", "doc_id", "text"), "text", ["doc_id"]).select("doc_id", "pos", "token")
+    return text.flat_tokenize(read(spark, d, "documents", "doc_id", "text"), "text", ["doc_id"]).filter(F.col("token").isNotNull()).select("doc_id", "pos", "token")
 
 
 @query("SELECT item_id, true AS same FROM benchmark")
