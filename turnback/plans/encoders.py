@@ -9,18 +9,26 @@ from __future__ import annotations
 
 import json
 import math
+import unicodedata
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce as fold
+from itertools import accumulate
 from pathlib import Path
 from typing import Any, ClassVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StringType, StructField, StructType
 
 from turnback.functions import tokens as T
-from turnback.functions.diff import patch_col, script_col
+from turnback.functions.diff import patch, script
+from turnback.functions.lots import by_lot, lots
 from turnback.functions.scalars import missing
 from turnback.operators import make
 from turnback.operators.encode import hot
@@ -28,6 +36,8 @@ from turnback.operators.encode import hot
 from .stats import Stats, shift_scale
 
 UNK = "[UNK]"
+#: distinct tokens that a task counts before it passes them on
+MANY = 500_000
 KINDS: dict[str, type[Encoder]] = {}
 
 
@@ -386,51 +396,114 @@ class Categorical(Encoder):
 
 
 class _Text(Encoder):
-    """What the one-language and the many-language encoders share."""
+    """What the one-language and the many-language encoders share.
 
-    kind = ""
+    A column is encoded, decoded and counted in one Python function each, some rows at a time. Texts of a language (None
+    for the encoder of one) have its tokenizer, detokenizer and words.
+    """
 
-    def _encode(self, c: str, toks: Column, back: Column, index: Any) -> dict[str, Column]:
-        out = {}
-        cur = T.fixed(toks, self.max_len)
-        out[self.out("tokenize_diff", c)] = script_col(back, col(c))
-        for flag, what in ((self.lower, "lower_case"), (self.half, "half_width"), (self.lemmatizer, "lemmatize")):
-            if flag:
-                new = self._normal(cur, what)
-                # one script for the row: over the tokens joined by a character that no token holds
-                out[self.out(f"{what}_diff", c)] = script_col(F.array_join(new, "\x1f"), F.array_join(cur, "\x1f"))
-                cur = new
-        i = F.transform(F.arrays_zip(cur.alias("t"), index(cur).alias("i")), lambda z: F.when(z["t"] == "", F.lit(-1)).when(z["i"] < 0, F.lit(0)).otherwise(z["i"]))
-        out[self.out("indices", c)] = i
-        out[self.out("missing_vals", c)] = F.transform(F.arrays_zip(cur.alias("t"), i.alias("i")), lambda z: F.when(z["i"] == 0, z["t"]).otherwise(F.lit("")))
-        return out
+    kind = ""
 
-    def _normal(self, toks: Column, what: str) -> Column:
-        if what == "lower_case":
-            return F.transform(toks, lambda t: F.lower(t))
-        joined = F.array_join(toks, "\x1f")
-        if what == "half_width":
-            wide = F.octet_length(joined) != F.length(joined)
-            return F.when(wide, F.split(T.mapped(F.when(wide, joined), "nfkc"), "\x1f")).otherwise(toks)
-        fn = T.REGISTRY[self.lemmatizer]
-        T.register(f"__lemma_{self.lemmatizer}", lambda s: "\x1f".join(fn(t) if t else t for t in s.split("\x1f")))
-        return F.split(T.mapped(joined, f"__lemma_{self.lemmatizer}"), "\x1f", -1)
-
-    def _words(self, c: str, words: Column) -> Column:
-        """The tokens before normalisation, from indices and what was kept."""
-        cur = F.transform(
-            F.arrays_zip(col(self.out("indices", c)).alias("i"), col(self.out("missing_vals", c)).alias("m")),
-            lambda z: F.when(z["i"] == 0, z["m"]).when(z["i"] < 0, F.lit("")).otherwise(F.get(words, z["i"])),
-        )
-        for flag, what in ((self.lemmatizer, "lemmatize"), (self.half, "half_width"), (self.lower, "lower_case")):
-            if flag:
-                cur = F.split(patch_col(F.array_join(cur, "\x1f"), col(self.out(f"{what}_diff", c))), "\x1f", -1)
-        return cur
-
-    def normalised(self, toks: Column) -> Column:
-        for flag, what in ((self.lower, "lower_case"), (self.half, "half_width"), (self.lemmatizer, "lemmatize")):
-            toks = self._normal(toks, what) if flag else toks
-        return toks
+    def _steps(self) -> list[str]:
+        return [what for flag, what in ((self.lower, "lower_case"), (self.half, "half_width"), (self.lemmatizer, "lemmatize")) if flag]
+
+    def _struct(self) -> StructType:
+        words, text = ArrayType(StringType()), StringType()
+        return StructType([StructField("tokenize_diff", text), *(StructField(f"{k}_diff", text) for k in self._steps()), StructField("indices", ArrayType(IntegerType())), StructField("missing_vals", words)])
+
+    def _normals(self) -> list[Callable[[list[str]], list[str]]]:
+        """The steps, on the tokens of a row."""
+        lemma = T.REGISTRY[self.lemmatizer] if self.lemmatizer else None
+        fns = {
+            "lower_case": lambda ts: _rejoined(ts, str.lower),
+            "half_width": lambda ts: ts if all(map(str.isascii, ts)) else [unicodedata.normalize("NFKC", t) for t in ts],
+            "lemmatize": lambda ts: [lemma(t) if t else t for t in ts],
+        }
+        return [fns[k] for k in self._steps()]
+
+    def _encode(self, c: str, lang: Column | None, tokenizers: dict, detokenizers: dict, words: dict) -> dict[str, Column]:
+        cut, back, normals, kind = {k: T.REGISTRY[t] for k, t in tokenizers.items()}, {k: T.REGISTRY[t] for k, t in detokenizers.items()}, self._normals(), self._struct()
+        index, n, to = {k: {w: i for i, w in reversed(list(enumerate(v)))} for k, v in words.items()}, self.max_len, to_arrow_type(kind)
+
+        def rows(texts: pa.Array, langs: pa.Array) -> pa.Array:
+            diffs: list[list] = [[] for _ in range(len(normals) + 1)]
+            ends, indices, rest = [0], [], []
+            for s, k in zip(texts.to_pylist(), langs.to_pylist()):
+                if k not in cut:
+                    raise ValueError(f"no tokenizer for language {k}")
+                cur = [] if s is None else cut[k](s)
+                cur = cur if n is None else [*cur[:n], *[""] * (n - len(cur))]
+                diffs[0].append(script(back[k](cur), s))
+                for fn, out in zip(normals, diffs[1:]):
+                    new = fn(cur)
+                    out.append("[]" if new is cur else script("\x1f".join(new), "\x1f".join(cur)))
+                    cur = new
+                at = index[k]
+                found = [-1 if t == "" else at.get(t, 0) for t in cur]
+                indices += found
+                rest += ["" if i else t for i, t in zip(found, cur)]
+                ends.append(len(indices))
+            off = pa.array(ends, pa.int32())
+            lists = [pa.ListArray.from_arrays(off, pa.array(indices, pa.int32())), pa.ListArray.from_arrays(off, pa.array(rest, pa.string()))]
+            return pa.StructArray.from_arrays([*(pa.array(d, pa.string()) for d in diffs), *lists], fields=list(to))
+
+        got = _by_language(rows, kind)(col(c), lang)
+        return {self.out(f.name, c): got[f.name] for f in kind}
+
+    def _decode(self, c: str, lang: Column | None, detokenizers: dict, words: dict) -> Column:
+        back = {k: T.REGISTRY[t] for k, t in detokenizers.items()}
+        every = pa.array([w for v in words.values() for w in v], pa.string())
+        first = dict(zip(words, accumulate((len(v) for v in words.values()), initial=0)))
+
+        def rows(indices: pa.Array, rest: pa.Array, *more: pa.Array) -> pa.Array:
+            *diffs, langs = (x.to_pylist() for x in more)
+            i, sizes = indices.flatten(), pc.fill_null(pc.list_value_length(indices), 0)
+            start = np.repeat(np.array([first.get(k, 0) for k in langs], np.int64), sizes.to_numpy(zero_copy_only=False))
+            word = every.take(pa.array(np.where(i.to_numpy() > 0, i.to_numpy() + start, 0)))
+            cur = pc.if_else(pc.equal(i, 0), rest.flatten(), pc.if_else(pc.less(i, 0), "", word))
+            off = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+            out = []
+            for k, joined, *edits in zip(langs, pc.binary_join(pa.ListArray.from_arrays(off, cur), "\x1f").to_pylist(), *diffs):
+                if k not in back or None in edits:
+                    out.append(None)
+                    continue
+                for e in edits[:0:-1]:
+                    joined = patch(joined, e)
+                out.append(patch(back[k](joined.split("\x1f")), edits[0]))
+            return pa.array(out, pa.string())
+
+        names = ["indices", "missing_vals", "tokenize_diff", *(f"{k}_diff" for k in self._steps())]
+        return _by_language(rows, StringType())(*(col(self.out(k, c)) for k in names), lang)
+
+    def _counts(self, df: DataFrame, lang: str | None, tokenizers: dict) -> DataFrame:
+        """lang, token, n: how often each token occurs, as parts that are to be added."""
+        cut, normals = {k: T.REGISTRY[t] for k, t in tokenizers.items()}, self._normals()
+
+        def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[Any, Counter] = defaultdict(Counter)
+
+            def out() -> Iterator[pa.RecordBatch]:
+                for k, n in seen.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.string()), pa.array(n, pa.string()), pa.array(n.values(), pa.int64())], ["lang", "token", "n"])
+                seen.clear()
+
+            for batch in batches:
+                *texts, langs = batch.columns
+                for x in texts:
+                    for part in lots(x, langs):
+                        for s, k in zip(*(y.to_pylist() for y in part)):
+                            if k not in cut:
+                                raise ValueError(f"no tokenizer for language {k}")
+                            ts = [] if s is None else cut[k](s)
+                            for fn in normals:
+                                ts = fn(ts)
+                            seen[k].update(ts)
+                        if sum(map(len, seen.values())) > MANY:
+                            yield from out()
+            yield from out()
+
+        texts = self.cols if lang is None else [c for c in self.cols if c != lang]
+        return df.select(*map(col, texts), (F.lit(None).cast("string") if lang is None else col(lang)).alias("__lang")).mapInArrow(parts, "lang string, token string, n bigint")
 
     def check(self):
         super().check()
@@ -441,9 +514,30 @@ class _Text(Encoder):
         return dict.fromkeys(self.cols, f"VARCHAR({var_lim})")
 
 
+def _rejoined(ts: list[str], fn: Callable[[str], str]) -> list[str]:
+    """A function that leaves characters apart, on all tokens at once; the list itself if nothing changes."""
+    whole = "\x1f".join(ts)
+    new = fn(whole)
+    if new == whole:
+        return ts
+    got = new.split("\x1f")
+    return got if len(got) == len(ts) else [fn(t) for t in ts]  # a token that holds the separator
+
+
+def _by_language(rows: Callable[..., pa.Array], kind: DataType) -> Callable[..., Column]:
+    """A column of Arrow arrays, the last of them the language (None: of none)."""
+    one = F.arrow_udf(lambda *cols: by_lot(rows, *cols), kind)
+    plain = F.arrow_udf(lambda *cols: by_lot(rows, *cols, pa.nulls(len(cols[0]), pa.string())), kind)
+    return lambda *cols: plain(*cols[:-1]) if cols[-1] is None else one(*cols)
+
+
 def top_words(words: DataFrame, by: list[str], k: int) -> DataFrame:
     """The k most frequent ``token``s (for each ``by``), ties in order of token. Counts first, so only they are sorted."""
-    n = words.groupBy(*by, "token").agg(F.count("*").alias("n"))
+    return top_counts(words.groupBy(*by, "token").agg(F.count("*").alias("n")), by, k)
+
+
+def top_counts(n: DataFrame, by: list[str], k: int) -> DataFrame:
+    """:func:`top_words` of ``token``s with their counts ``n``."""
     if not by:
         return n.orderBy(F.col("n").desc(), "token").limit(k)
     return n.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), "token"))).filter(F.col("r") <= k).drop("r")
@@ -468,22 +562,19 @@ class Text(_Text):
     def fit_state(self, row, df):
         if self.vocab:
             return {"words": list(self.vocab)}
-        cat = F.concat(*(F.coalesce(self.normalised(T.tokens(col(c), self.tokenizer)), F.array().cast("array<string>")) for c in self.cols))
-        words = df.select(F.explode(cat).alias("token"))
-        got = top_words(words, [], self.max_vocab - 1).collect()  # max_vocab rows at most
+        n = self._counts(df, None, {None: self.tokenizer}).groupBy("token").agg(F.sum("n").alias("n"))
+        got = top_counts(n, [], self.max_vocab - 1).collect()  # max_vocab rows at most
         return {"words": [UNK, *sorted(r["token"] for r in got)]}
 
     def encode(self):
-        words = self.need()["words"]
+        words = {None: self.need()["words"]}
         out = {}
         for c in self.cols:
-            toks = T.fixed(T.tokens(col(c), self.tokenizer), self.max_len)
-            out |= self._encode(c, toks, T.text(toks, self.detokenizer), lambda t: T.lookup_array(t, words))
+            out |= self._encode(c, None, {None: self.tokenizer}, {None: self.detokenizer}, words)
         return out
 
     def decode(self):
-        words = F.array(*map(F.lit, self.need()["words"]))
-        return {c: patch_col(T.text(self._words(c, words), self.detokenizer), col(self.out("tokenize_diff", c))) for c in self.cols}
+        return {c: self._decode(c, None, {None: self.detokenizer}, {None: self.need()["words"]}) for c in self.cols}
 
 
 @dataclass
@@ -509,41 +600,22 @@ class Multilingual(_Text):
         if self.vocab and any(v[0] != UNK for v in self.vocab.values()):
             raise ValueError(f"vocabularies start with {UNK}")
 
-    def _by(self, make_one) -> Column:
-        lang = col(self.cols[1])
-        out = F.raise_error(F.concat(F.lit("no tokenizer for language "), F.coalesce(lang, F.lit("null"))))
-        for k in self.tokenizers:
-            out = F.when(lang == F.lit(k), make_one(k)).otherwise(out)
-        return out
-
     def fit_state(self, row, df):
         if self.vocab:
             return {"words": self.vocab}
-        toks = self.normalised(self._by(lambda k: T.tokens(col(self.cols[0]), self.tokenizers[k])))
-        words = df.select(col(self.cols[1]).alias("lang"), F.explode(toks).alias("token"))
+        n = self._counts(df, self.cols[1], self.tokenizers).groupBy("lang", "token").agg(F.sum("n").alias("n"))
         found: dict[str, list[str]] = {k: [] for k in self.tokenizers}
-        for r in top_words(words, ["lang"], self.max_vocab - 1).collect():  # max_vocab rows a language at most
+        for r in top_counts(n, ["lang"], self.max_vocab - 1).collect():  # max_vocab rows a language at most
             found[r["lang"]].append(r["token"])
         return {"words": {k: [UNK, *sorted(v)] for k, v in found.items()}}
 
     def encode(self):
-        words = self.need()["words"]
-        c = self.cols[0]
-        toks = self._by(lambda k: T.fixed(T.tokens(col(c), self.tokenizers[k]), self.max_len))
-        back = self._by(lambda k: T.text(toks, self.detokenizers[k]))
-        index = lambda t: self._by(lambda k: T.lookup_array(t, words[k]))
-        return self._encode(c, toks, back, index) | {self.out("languages", self.cols[1]): col(self.cols[1])}
+        text, lang = self.cols
+        return self._encode(text, col(lang), self.tokenizers, self.detokenizers, self.need()["words"]) | {self.out("languages", lang): col(lang)}
 
     def decode(self):
-        words, lang = self.need()["words"], col(self.out("languages", self.cols[1]))
-        pick = F.array().cast("array<string>")
-        for k, v in words.items():
-            pick = F.when(lang == F.lit(k), F.array(*map(F.lit, v))).otherwise(pick)
-        toks = self._words(self.cols[0], pick)
-        text = F.lit(None).cast("string")
-        for k in self.tokenizers:
-            text = F.when(lang == F.lit(k), T.text(toks, self.detokenizers[k])).otherwise(text)
-        return {self.cols[0]: patch_col(text, col(self.out("tokenize_diff", self.cols[0]))), self.cols[1]: lang}
+        text, lang = self.cols[0], col(self.out("languages", self.cols[1]))
+        return {text: self._decode(text, lang, self.detokenizers, self.need()["words"]), self.cols[1]: lang}
 
 
 @dataclass
