@@ -64,13 +64,17 @@ class RandomReplace(Op):
         x = self.args(cols)
         a, p = x["a"], self.params
         keep = list(p.get("do_not_replace", []))
-        drawn = F.filter(
-            F.transform(a, lambda v, i: F.when((hashed_uniform(x["key"], i, F.lit(p.get("seed", 0))) < p["prob"]) & (~v.isin(keep) if keep else F.lit(True)), i)),
-            lambda i: i.isNotNull(),
-        )
-        positions = F.slice(F.reverse(drawn), 1, p["max_replace"])
-        target = let(positions, lambda at: F.transform(a, lambda v, i: F.when(F.array_contains(at, i), F.lit(p["with_"])).otherwise(v)))
-        return {"target": target, "positions": positions, "replaced": F.transform(positions, lambda i: F.get(a, i)), "key": x["key"]}
+
+        def chosen(i: Column) -> Column:
+            drawn = hashed_uniform(x["key"], i, F.lit(p.get("seed", 0))) < p["prob"]
+            return ~F.coalesce(F.get(a, i).isin(keep), F.lit(True)) & drawn if keep else drawn
+
+        # from the highest position down; once there are enough, no more are drawn
+        places = F.when(a.isNotNull(), F.when(F.size(a) > 0, F.sequence(F.size(a) - 1, F.lit(0), F.lit(-1))).otherwise(F.array().cast("array<int>")))
+        none = F.array().cast("array<int>")
+        positions = F.aggregate(places, none, lambda got, i: F.when((F.size(got) < p["max_replace"]) & chosen(i), F.concat(got, F.array(i))).otherwise(got))
+        done = let(positions, lambda at: F.struct(at.alias("at"), F.transform(a, lambda v, i: F.when(F.array_contains(at, i), F.lit(p["with_"])).otherwise(v)).alias("target"), F.transform(at, lambda i: F.get(a, i)).alias("was")))
+        return {"target": done["target"], "positions": done["at"], "replaced": done["was"], "key": x["key"]}
 
     def inverse(self, cols):
         at, was = cols["positions"], cols["replaced"]
